@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, fingerprints, minhash, mixing, segmentation, toxicity, warc
+from marlstone.llm import exact_dedup, fingerprints, minhash, mixing, secret_scan, segmentation, toxicity, warc
 from marlstone.session import table
 
 
@@ -30,6 +30,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.encode(table(spark, sf_dir, "documents"))
 
