@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, fingerprints, minhash, mixing, secret_scan, segmentation, toxicity, warc
+from marlstone.llm import exact_dedup, fingerprints, line_dedup, minhash, mixing, secret_scan, segmentation, toxicity, warc
 from marlstone.session import table
 
 
@@ -22,6 +22,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.normalise_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.find_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
