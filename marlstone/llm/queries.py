@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, fingerprints, line_dedup, minhash, mixing, secret_scan, segmentation, toxicity, warc
+from marlstone.llm import exact_dedup, fingerprints, line_dedup, minhash, mixing, secret_scan, segmentation, suffix_dedup, toxicity, warc
 from marlstone.session import table
 
 
@@ -38,6 +38,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.encode(table(spark, sf_dir, "documents"))
 
