@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from marlstone.plans import retrieval
+
+_MODULES = [retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
