@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import retrieval
+from marlstone.plans import retrieval, structure
 
-_MODULES = [retrieval]
+_MODULES = [retrieval, structure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
