@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import analytics, retrieval, structure
+from marlstone.plans import analytics, answers, retrieval, structure
 
-_MODULES = [retrieval, structure, analytics]
+_MODULES = [retrieval, structure, analytics, answers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
