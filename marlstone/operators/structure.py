@@ -42,7 +42,7 @@ def line_paragraphs(lines: DataFrame) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, para_idx, text): non-blank lines of texts, numbered from 0."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(lines).alias("para_idx", "text"))
 
 
@@ -69,7 +69,7 @@ def chunk_bounds(counts: Column, budget: int = CHUNK_WORDS, overlap: int = OVERL
 def prose_chunks(docs: DataFrame, budget: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
     """(doc_id, chunk_index, first_word, n_words, text) of texts, whose paragraphs are their non-blank lines."""
     squeezed = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\r\f\x0B]+", " "))
-    lines = F.filter(F.transform(F.split(squeezed, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(squeezed, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     each = docs.select("doc_id", F.transform(lines, lambda x: F.split(x, " ")).alias("ps"))
     bounded = each.select("doc_id", F.flatten("ps").alias("ws"), chunk_bounds(F.transform("ps", F.size), budget, overlap).alias("bs"))
     chunks = bounded.select("doc_id", "ws", F.posexplode("bs").alias("chunk_index", "b"))
@@ -81,7 +81,7 @@ def prose_chunks(docs: DataFrame, budget: int = CHUNK_WORDS, overlap: int = OVER
 def normative(docs: DataFrame, strengths: tuple[str, ...] = ("shall", "should", "may"), least_words: int = 4) -> DataFrame:
     """(doc_id, sent_idx, strength, text): sentences of at least least_words words that hold a strength word, with the strongest."""
     marked = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \n\t]+", "$1\u0001"), "\u0001")
-    each = docs.select("doc_id", F.posexplode(F.transform(marked, F.trim)).alias("sent_idx", "text"))
+    each = docs.select("doc_id", F.posexplode(F.transform(marked, lambda x: F.trim(x))).alias("sent_idx", "text"))
     strength = None
     for s in strengths:
         has = F.lower("text").rlike(rf"(^|[^a-z0-9_]){s}($|[^a-z0-9_])")
