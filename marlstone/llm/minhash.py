@@ -8,9 +8,9 @@ signature emits one key for every chunk and every choice of the places that may
 other places, so such a pair shares a key. Every pair within r thus meets; none is missed.
 
 A set of documents with one signature is one node. The members of a key's bucket are linked
-through pivots: those within r of a pivot join it; each of the others is compared with every member. What
+through pivots: those within r of a pivot are its star, and every member outside the largest star is compared with all. What
 is left out are only pairs whose two ends are linked already, so components are those of all
-pairs, at a cost linear in the bucket for each pivot.
+pairs, at a cost linear in the bucket for each member outside the largest star.
 """
 
 from __future__ import annotations
@@ -123,13 +123,17 @@ def chunk_keys(nodes: DataFrame, perms: int = PERMS, radius: int = RADIUS, chunk
 def link(sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (i, j) of rows within the radius that connect what all such pairs connect."""
     n, links = len(sig), []
-    joined = np.zeros(n, bool)
+    star = np.full(n, -1)
     for p in range(n):
-        if joined[p]:
-            continue
-        near = np.flatnonzero((sig != sig[p]).sum(1) <= radius)
-        links += [(p, int(i)) for i in near if i != p]
-        joined[near] = True
+        if star[p] < 0:
+            near = np.flatnonzero((sig != sig[p]).sum(1) <= radius)
+            links += [(p, int(i)) for i in near if i != p]
+            star[near[star[near] < 0]] = p
+    # two stars may be linked through rows of which neither is a pivot; one of the two is outside the largest star
+    sizes = np.bincount(star, minlength=n)
+    for z in np.flatnonzero(star != sizes.argmax()):
+        if star[z] != z:
+            links += [(int(z), int(i)) for i in np.flatnonzero((sig != sig[z]).sum(1) <= radius) if star[i] != star[z]]
     return links
 
 
