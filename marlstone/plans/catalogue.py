@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import analytics, answers, retrieval, structure
+from marlstone.plans import analytics, answers, context, retrieval, structure
 
-_MODULES = [retrieval, structure, analytics, answers]
+_MODULES = [retrieval, structure, analytics, answers, context]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
