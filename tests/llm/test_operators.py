@@ -46,8 +46,8 @@ def test_exact_dedup_cases(spark):
 
 def test_exact_dedup_across_salts(spark):
     many = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("text")).repartition(13)
-    out = {r.doc_id: r.has_copies for r in exact_dedup.exact_dedup(many, 3).collect()}
-    assert out == {0: True, 9: True, 19: True, 29: True, 39: True, 49: True}
+    out = {r.doc_id: r.n_copies for r in exact_dedup.exact_dedup(many, 3, counts=True).collect()}
+    assert out == {0: 4500, 9: 100, 19: 100, 29: 100, 39: 100, 49: 100}
 
 
 # 2
