@@ -118,7 +118,7 @@ class RunLengthIndex:
             ahead = np.full(n, 0, np.int64)
             ahead[: n - size] = r[size:] + 1 if size < n else 0
             key = r * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_ = key[order]
             new = np.empty(n, np.int64)
             new[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
@@ -143,7 +143,7 @@ class RunLengthIndex:
         self.first, self.word = first, bwt[first]
         self.at_first, self.at_last, self.last = array[first], array[last], last
         before = np.zeros(n, np.int64)
-        order = np.argsort(bwt, kind="stable")
+        order = np.argsort(bwt * n + np.arange(n))
         before[order] = np.arange(n)
         self.leads = before[first]
         runs = len(first)
@@ -183,45 +183,46 @@ class RunLengthIndex:
     def statistics(self, patterns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Lengths of the longest matches from each place of patterns (rows, filled up with -1 after their length; words not in the text are -1 too)."""
         count, width = patterns.shape
-        pointer = np.full((count, width), -1, np.int64)
-        row, at = np.zeros(count, np.int64), np.full(count, -1, np.int64)
-        lines = np.arange(count)
+        out = np.zeros((count, width), np.int64)
+        row, at, got = np.zeros(count, np.int64), np.full(count, -1, np.int64), np.zeros(count, np.int64)
+        text = np.concatenate((self.text, np.full(width + 1, -2)))
+        ahead = np.arange(width)
         for i in range(width - 1, -1, -1):
             c = patterns[:, i] + 1
             live = i < lengths
             run = np.searchsorted(self.first, row, side="right") - 1
-            same = live & (self.word[run] == c) & (at >= 0)
-            spot = np.searchsorted(self.key, c * self.runs + run)
-            succ_ok = (spot < self.runs) & (self.word[self.by_word[np.minimum(spot, self.runs - 1)]] == c)
-            pred_ok = (spot > 0) & (self.word[self.by_word[np.maximum(spot - 1, 0)]] == c)
-            succ, pred = self.by_word[np.minimum(spot, self.runs - 1)], self.by_word[np.maximum(spot - 1, 0)]
-            use_pred = pred_ok & (~succ_ok | (row < self.threshold[np.minimum(spot, self.runs - 1)]))
-            jump_run = np.where(use_pred, pred, succ)
-            jump_row = np.where(use_pred, self.last[jump_run], self.first[jump_run])
-            jump_at = np.where(use_pred, self.at_last[jump_run], self.at_first[jump_run])
-            known = live & (c > 0) & (succ_ok | pred_ok)
-            run = np.where(same, run, jump_run)
-            here = np.where(same, row, jump_row)
-            place = np.where(same, at, jump_at)
+            same = live & (c > 0) & (self.word[run] == c) & (at >= 0)
+            jump = np.flatnonzero(live & ~same)
+            here, place, length = row, at - 1, got + 1
+            if len(jump):
+                word, spot = c[jump], np.searchsorted(self.key, c[jump] * self.runs + run[jump])
+                high = np.minimum(spot, self.runs - 1)
+                succ, pred = self.by_word[high], self.by_word[np.maximum(spot - 1, 0)]
+                succ_ok, pred_ok = (spot < self.runs) & (self.word[succ] == word), (spot > 0) & (self.word[pred] == word)
+                back = pred_ok & (~succ_ok | (row[jump] < self.threshold[high]))
+                ok = (succ_ok | pred_ok) & (word > 0)
+                to = np.where(back, pred, succ)
+                run[jump] = to
+                here = here.copy()
+                here[jump] = np.where(back, self.last[to], self.first[to])
+                place[jump] = np.where(ok, np.where(back, self.at_last[to], self.at_first[to]) - 1, -1)
+                # the match goes on behind the word as far as it did from there, at most
+                far = jump[ok & (got[jump] > 0)]
+                length[jump] = ok
+                if len(far):
+                    most = int(got[far].max())
+                    equal = patterns[far, i + 1 : i + 1 + most] + 1 == text[place[far][:, None] + 1 + ahead[None, :most]][:, : max(width - i - 1, 0)]
+                    equal &= patterns[far, i + 1 : i + 1 + most] >= 0
+                    whole = equal.all(1)
+                    length[far] = 1 + np.where(whole, equal.shape[1], (~equal).argmax(1) if equal.shape[1] else 0)
+                known = live.copy()
+                known[jump[~ok]] = False
+            else:
+                known = live
             row = np.where(known, self.leads[run] + here - self.first[run], row)
-            at = np.where(known, place - 1, np.where(live, -1, at))
-            pointer[:, i] = np.where(known, place - 1, -1)
-        out = np.zeros((count, width), np.int64)
-        got = np.zeros(count, np.int64)
-        n = len(self.text)
-        for i in range(width):
-            p = pointer[:, i]
-            got = np.where(p >= 0, np.maximum(got - 1, 0), 0)
-            more = p >= 0
-            while more.any():
-                m = lines[more]
-                k = got[m]
-                x, y = i + k, p[m] + k
-                ok = (x < lengths[m]) & (y < n)
-                ok[ok] = (patterns[m[ok], x[ok]] + 1 == self.text[y[ok]]) & (patterns[m[ok], x[ok]] >= 0)
-                got[m[ok]] += 1
-                more[m[~ok]] = False
-            out[:, i] = got
+            at = np.where(known, place, np.where(live, -1, at))
+            got = np.where(known, length, np.where(live, 0, got))
+            out[:, i] = np.where(live, got, 0)
         return out
 
 
