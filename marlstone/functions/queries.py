@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import once
 
-_HEX = r"(?:0[xX])?[0-9A-Fa-f]+h?"
-_ENUM = r"(?:0[xX][0-9A-Fa-f]+|[0-9A-Fa-f]+h|[0-9][0-9A-Fa-f]*)"
+_HEX = r"(?:0[xX])?\p{XDigit}+h?"
+_ENUM = r"(?:\p{XDigit}+h|0[xX]\p{XDigit}+|[0-9]\p{XDigit}*)"
 #: kind, pattern whose first group is the value; in the order they are looked for.
 KINDS = (
     ("fid", rf"(?i)\b(?:feature +identifier|fid) *[:=]? *({_HEX})\b"),
@@ -16,13 +16,14 @@ KINDS = (
     ("opcode", rf"(?i)\bop *code *[:=]? *({_ENUM})\b"),
     ("cns", rf"(?i)\bcns(?: +values?)? *[:=]? *({_ENUM})\b"),
     ("status", rf"(?i)\bstatus(?: +(?:code|value)s?)? *[:=]? *({_ENUM})\b"),
-    ("cdw", r"(?i)\b(cdw *[0-9]{1,2}(?: *\[ *[0-9]+ *: *[0-9]+ *\])?)"),
+    ("cdw", r"(?i)\b(cdw *[0-9]{1,2}(?: *[\[] *[0-9]+ *: *[0-9]+ *[\]])?)"),
     ("figure", r"(?i)\bfig(?:ure|\.)? *([0-9]{1,4})\b"),
-    ("section", r"(?:^|\s|§)([0-9]+(?:\.[0-9]+){1,5})\b"),
+    ("section", r"(?:^|\s|§)([0-9]+(?:[.][0-9]+){1,5})\b"),
 )
 #: A literal with h at its end needs a digit, so that words such as each aren't one.
-HEX = r"\b(0[xX][0-9A-Fa-f]+|[0-9A-Fa-f]*[0-9][0-9A-Fa-f]*h)\b"
-FIELD = r"\b([A-Z][A-Z0-9]{1,9}(?:\.[A-Z][A-Z0-9]{1,9})?)\b"
+HEX = r"\b(\p{XDigit}*[0-9]\p{XDigit}*h|0[xX]\p{XDigit}+)\b"
+_CAPS = r"\p{Lu}[0-9A-Z]{1,9}"
+FIELD = rf"\b({_CAPS}(?:[.]{_CAPS})?)\b"
 
 
 def _as(kind: str):
@@ -69,7 +70,7 @@ def question_type(query: Column, found: Column) -> Column:
 
 def looks_up(found: Column) -> Column:
     """Whether the entities open the structured lookup."""
-    return F.exists(found, lambda e: e["kind"].isin("field", "figure", "fid", "lid", "opcode", "cns", "status", "hex"))
+    return F.exists(found, lambda e: e["kind"].isin("cns", "fid", "field", "figure", "hex", "lid", "opcode", "status"))
 
 
 def clean_subqueries(query: Column, given: Column, kind: Column, cap: int = 3) -> Column:
@@ -81,14 +82,14 @@ def clean_subqueries(query: Column, given: Column, kind: Column, cap: int = 3) -
 
 def named_figures(text: Column) -> Column:
     """Figure numbers of a text, lists such as `Figures 3, 4 and 5` too, without leading zeros, once each."""
-    lists = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\bfig(?:ure)?s?\.? +([0-9]{1,4}(?: *(?:/|,|and|&) *[0-9]{1,4})*)"), F.lit(1))
+    lists = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\bfig(?:ure)?s?\.? +([0-9]{1,4}(?: *(?:&|and|,|/) *[0-9]{1,4})*)"), F.lit(1))
     digits = F.flatten(F.transform(lists, lambda g: F.regexp_extract_all(g, F.lit("([0-9]{1,4})"), F.lit(1))))
     return F.array_distinct(F.transform(digits, lambda d: F.regexp_replace(d, "^0+(?=.)", "")))
 
 
 def named_sections(text: Column) -> Column:
     """Dotted section ids of a text, those of annexes too, once each."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([0-9]+(?:\.[0-9]+)+|[A-Z](?:\.[0-9]+)+)\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b((?:[0-9]+|[A-Z])(?:[.][0-9]+)+)\b"), F.lit(1)))
 
 
 def resources(missing: Column) -> Column:
@@ -117,5 +118,5 @@ def split_verdict(text: Column) -> Column:
 
 def hallucinated_ids(citations: Column, cap: int = 8) -> Column:
     """Ids of citations (section_id, hallucinated) that were made up but have the form of a section, once each."""
-    bad = F.transform(F.filter(citations, lambda c: c["hallucinated"] & c["section_id"].rlike(r"^([0-9]+(\.[0-9]+)+|[A-Z](\.[0-9]+)+)$")), lambda c: c["section_id"])
+    bad = F.transform(F.filter(citations, lambda c: c["hallucinated"] & c["section_id"].rlike(r"^([0-9]+|[A-Z])([.][0-9]+)+$")), lambda c: c["section_id"])
     return F.slice(F.array_distinct(bad), 1, cap)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marlstone.operators.retrieval import first_wins
 
 #: What answers without a source say.
-REFUSALS = ("no information", "cannot find", "information is not available", "not provided in the context", "not in the context", "context does not contain", "does not contain the answer")
+REFUSALS = ("no information", "cannot find", "information is not available", "not in the context", "does not contain the answer", "not provided in the context", "context does not contain")
 #: Assumed sizes of calls: prompt and completion tokens, prices a million tokens.
 COSTS = {"qp": (550, 70), "decomp": (550, 70), "gap": (1000, 130), "base": 2200, "chunk": 450, "gen_out": 400, "regen_out": 330, "passes": 2, "figures": 1.5, "embed": 0.02, "support": (0.15, 0.60)}
 

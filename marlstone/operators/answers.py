@@ -71,8 +71,8 @@ def structured_lookup(queries: DataFrame, fields: DataFrame, most: int = 8) -> D
     return ranked.select("qid", "field_name", "figure_number", "offset", "description", F.when(F.col("n") == 1, "HIGH").otherwise("MEDIUM").alias("confidence"))
 
 
-_ID = r"(?:\d+(?:\.\d+)*|[A-Z](?:\.\d+)+)"
-_DOTTED = re.compile(r"\b(\d+(?:\.\d+)+|[A-Z](?:\.\d+)+)\b")
+_ID = r"(?:[A-Z](?:[.][0-9]+)+|[0-9]+(?:[.][0-9]+)*)"
+_DOTTED = re.compile(r"\b((?:[A-Z]|[0-9]+)(?:[.][0-9]+)+)\b")
 
 
 def resolve(cited: str, known: dict[str, str], titles: dict[str, str]) -> str | None:
@@ -81,8 +81,9 @@ def resolve(cited: str, known: dict[str, str], titles: dict[str, str]) -> str |
     if at in known:
         return at
     parts = at.split(".")
-    for n in range(len(parts) - 1, 0, -1):
-        if (up := ".".join(parts[:n])) in known:
+    while len(parts) > 1:
+        parts.pop()
+        if (up := ".".join(parts)) in known:
             return up
     under = [k for k in known if k.startswith(at + ".")]
     if under:

@@ -22,10 +22,10 @@ def references(texts: DataFrame) -> DataFrame:
 
     The text is cut at each reference, so what stands before one, which decides its strength, is the end of the piece before.
     """
-    mark = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\b((?:section|clause)s?\s+\d+(?:\.\d+)+[a-z]?|figures?\s+\d+)", "\u0001$1\u0002")
+    mark = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\b(figures?\s+[0-9]+|(?:clause|section)s?\s+[0-9]+(?:[.][0-9]+)+[a-z]?)", "\u0001$1\u0002")
     pieces = texts.select("source", F.posexplode(F.split(mark, "\u0001")).alias("i", "piece"), F.split(mark, "\u0001").alias("all")).where("i > 0")
     ref = F.substring_index("piece", "\u0002", 1)
-    number = F.regexp_extract(ref, r"(\d+(?:\.\d+)*[a-z]?)$", 1)
+    number = F.regexp_extract(ref, r"([0-9]+(?:[.][0-9]+)*[a-z]?)$", 1)
     before = F.regexp_replace(F.element_at("all", F.col("i")), "\u0002", "")
     is_figure = F.lower(ref).startswith("figure")
     named = pieces.select(

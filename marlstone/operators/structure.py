@@ -212,15 +212,16 @@ def collapsed(cells: Column) -> Column:
 def _is_key(cell: str) -> bool:
     import re
 
-    return bool(re.fullmatch(r"\d+(:\d+)?|[0-9A-Fa-f]+h|[01]+b", cell.strip()))
+    return bool(re.fullmatch(r"[01]+b|[a-fA-F0-9]+h|[0-9]+(?::[0-9]+)?", cell.strip()))
 
 
 def _is_band(cells: list[str]) -> bool:
     if len(cells) != 1:
         return False
     text = cells[0]
-    letters = sum(c.isalpha() or c.isspace() for c in text) / max(len(text), 1)
-    return len(text) >= 10 and len(text.split()) >= 2 and letters > 0.85 or text.isalpha() and text[:1].isupper() and len(text) >= 4
+    other = sum(not (c.isspace() or c.isalpha()) for c in text)
+    phrase = len(text) >= 10 and " " in text and other < 0.15 * len(text)
+    return phrase or (len(text) >= 4 and text[:1].isupper() and text.isalpha())
 
 
 def build_grid(raw: list[list[str | None]]) -> tuple[list[str], list[list[str]]]:

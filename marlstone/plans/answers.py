@@ -142,5 +142,5 @@ ORACLE = {
     "stream_tumbling": "SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_session": "WITH a AS (SELECT user_id, epoch_us(ts) AS us FROM events), b AS (SELECT *, CASE WHEN us - lag(us) OVER w > 21600000000 THEN 1 ELSE 0 END AS f FROM a WINDOW w AS (PARTITION BY user_id ORDER BY us)), c AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS n FROM c GROUP BY user_id, s",
     "stream_dedup": "SELECT event_id, user_id FROM events",
-    "throttle_delay": "WITH f AS (SELECT user_id AS address, event_id AS id, floor(epoch(ts) / 100)::BIGINT AS t FROM events), c AS (SELECT a.address, a.id, a.t, count(b.id) AS n FROM f a LEFT JOIN f b ON a.address = b.address AND b.t < a.t AND b.t >= a.t - 300 GROUP BY ALL) SELECT address, id, t, [0.0, 0.0, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0][least(n, 7) + 1]::DOUBLE AS delay_s FROM c",
+    "throttle_delay": "WITH f AS (SELECT user_id AS address, event_id AS id, floor(epoch(ts) / 100)::BIGINT AS t FROM events), c AS (SELECT a.address, a.id, a.t, count(b.id) AS n FROM f a LEFT JOIN f b ON a.address = b.address AND b.t < a.t AND b.t >= a.t - 300 GROUP BY ALL) SELECT address, id, t, [0, 0, 1, 2, 5, 10, 30, 60][least(n, 7) + 1]::DOUBLE AS delay_s FROM c",
 }

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from marlstone.session import scratch
 
-DELAYS = (0.0, 0.0, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0)
+DELAYS = tuple(map(float, (0, 0, 1, 2, 5, 10, 30, 60)))
 WINDOW_S = 300
 
 
