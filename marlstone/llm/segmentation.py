@@ -38,7 +38,7 @@ NOTHING = 80.0
 SPACE, LITERAL = "▁", "\udfff"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONGEST_DENSE = 24
-TABLE_BYTES = 220_000_000
+TABLE_BYTES = 180_000_000
 SCHEMA = "doc_id long, sample int, pieces array<int>, log_prob double, log_inclusion double"
 
 
@@ -66,14 +66,15 @@ class Vocabulary:
         self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.longest = max(map(len, self.ids))
+        #: For each length the hashes of all beginnings of pieces, sorted, and the piece that is one, or -1.
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(1, self.longest + 1):
-            these = [p for p in self.ids if len(p) == n]
+            these = [p for p in self.starts if len(p) == n]
             h = np.zeros(len(these), np.uint64)
             for k in range(n):
                 h = _roll(h, np.array([ord(p[k]) for p in these], np.uint64))
             order = np.argsort(h)
-            self.tables.append((h[order], np.array([self.ids[p] for p in these], np.int32)[order]))
+            self.tables.append((h[order], np.array([self.ids.get(p, -1) for p in these], np.int32)[order]))
         self.weight = np.zeros(len(self.pieces))
         for i, w in self.log_prob.items():
             self.weight[i] = w
@@ -149,19 +150,11 @@ class Lattice:
     def types(self, words: list[str]) -> np.ndarray:
         """Type numbers of units; new ones get their sums."""
         known, base = self.type, len(self.type)
-        out = list(map(known.get, words))
-        new: list[str] = []
-        if None in out:
-            for k, t in enumerate(out):
-                if t is None:
-                    w = words[k]
-                    t = known.get(w)
-                    if t is None:
-                        t = known[w] = base + len(new)
-                        new.append(w)
-                    out[k] = t
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            known.update(zip(new, range(base, base + len(new)), strict=True))
             self._add(new, base)
-        return np.array(out, np.int64)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _room(self, table: dict[int, np.ndarray], n: int, used: int, more: np.ndarray) -> None:
         old = table.get(n)
@@ -174,28 +167,33 @@ class Lattice:
             self.bytes += grown.nbytes
         table[n][used : used + len(more)] = more
 
-    def _scores(self, units: list[str], n: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and pieces of all edges of units of n characters, by unit, end and length."""
+    def _edges_of(self, units: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All edges of units of n characters: unit, end, length, piece and weight. Places stay in play while they begin some piece."""
         v = self.vocabulary
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-        score = np.full((len(units), n, wide), -inf)
-        ids = np.zeros((len(units), n, wide), np.int32)
-        h = np.zeros((len(units), n), np.uint64)
-        for size in range(1, wide + 1):
-            h = _roll(h[:, : n - size + 1], chars[:, size - 1 :])
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        at = np.arange(len(chars))
+        left = n - at % n
+        h = np.zeros(len(chars), np.uint64)
+        parts, bare = [], np.zeros(0, np.int64)
+        for size in range(1, v.longest + 1):
+            h = _roll(h, chars[at + size - 1])
             table, piece = v.tables[size - 1]
-            at = np.minimum(np.searchsorted(table, h.ravel()), len(table) - 1).reshape(h.shape)
-            r, c = np.nonzero(table[at] == h)
-            found = piece[at[r, c]]
-            ids[r, c + size - 1, size - 1] = found
-            score[r, c + size - 1, size - 1] = self.smoothing * v.weight[found]
+            spot = np.minimum(np.searchsorted(table, h), len(table) - 1)
+            live = table[spot] == h
+            found = np.where(live, piece[spot], -1)
             if size == 1:
-                bare_r, bare_c = np.nonzero(table[at] != h)
-        for r, c in zip(bare_r.tolist(), bare_c.tolist(), strict=True):
-            char = units[r][c]
-            ids[r, c, 0] = self._virtual(char)
-            score[r, c, 0] = self.smoothing * v.least * len(v.bytes_of(char))
-        return score, ids
+                bare = at[found < 0]
+            whole = found >= 0
+            parts.append((at[whole], np.full(int(whole.sum()), size), found[whole], self.smoothing * v.weight[found[whole]]))
+            live &= left > size
+            at, left, h = at[live], left[live], h[live]
+            if not len(at):
+                break
+        if len(bare):
+            lone = [units[k // n][k % n] for k in bare.tolist()]
+            parts.append((bare, np.ones(len(bare), int), np.array([self._virtual(c) for c in lone]), np.array([self.smoothing * v.least * len(v.bytes_of(c)) for c in lone])))
+        start, size, piece, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return start // n, start % n + size, size, piece, weight
 
     def _virtual(self, char: str) -> int:
         if char not in self.char_id:
@@ -212,16 +210,21 @@ class Lattice:
                 for k in which:
                     self.long[base + int(k)] = self._sums(new[k])
                 continue
-            wide = min(n, self.vocabulary.longest)
-            every, all_ids = self._scores([new[k] for k in which], n, wide)
-            reach = np.full(len(which), 1)
-            for size in range(2, wide + 1):
-                reach[(every[:, :, size - 1] > -inf).any(1)] = size
+            unit, end, size, piece, weight = self._edges_of([new[k] for k in which], n)
+            reach = np.zeros(len(which), int)
+            np.maximum.at(reach, unit, size)
             for low, high in ((0, 4), (4, 8), (8, 32)):
-                part = np.flatnonzero((reach > low) & (reach <= high))
-                if len(part):
-                    w = min(wide, high)
-                    self._fill(n, w, np.ascontiguousarray(every[part, :, :w]), np.ascontiguousarray(all_ids[part, :, :w]), which[part], rows, kinds)
+                chosen = (reach > low) & (reach <= high)
+                part = np.flatnonzero(chosen)
+                if not len(part):
+                    continue
+                w = min(n, self.vocabulary.longest, high)
+                score, ids = np.full((len(part), n, w), -inf), np.zeros((len(part), n, w), np.int32)
+                of = chosen[unit]
+                place = (((np.cumsum(chosen) - 1)[unit[of]] * n + end[of] - 1) * w) + size[of] - 1
+                score.reshape(-1)[place] = weight[of]
+                ids.reshape(-1)[place] = piece[of]
+                self._fill(n, w, score, ids, which[part], rows, kinds)
         self.length = np.concatenate((self.length, lengths))
         self.row = np.concatenate((self.row, rows))
         self.kind = np.concatenate((self.kind, kinds))
@@ -342,12 +345,12 @@ class Lattice:
                 x = np.clip((x - low) / wide, 0.0, 1 - 1e-16)
                 gain *= wide
                 steps.append((which, ids[at * width + k], step))
-                count[which] += 1
                 pos = pos - k - 1
                 step += 1
                 done = pos == 0
                 if done.any():
                     lp[which[done]] = np.log(gain[done])
+                    count[which[done]] = step
                     going = ~done
                     which, base, pos, x, gain = which[going], base[going], pos[going], x[going], gain[going]
         ends = np.cumsum(count)
