@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marlstone.functions import text as X
 
@@ -79,6 +83,49 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return v.crossJoin(q).select("qid", "vec_id", (dot / (F.col("vn") * F.col("qn"))).alias("score"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048, digits: int = 6) -> DataFrame:
+    """(qid, vec_id, score, rank): the k vectors of (vec_id, embedding) most similar to each of (qid, q), by exact cosine in double precision.
+
+    For any number of queries: both sides are cut into blocks, each pair of blocks is one matrix product that leaves the k best
+    of each query, and those of all blocks are ranked again. Scores are rounded first; vec_id breaks ties. Vectors that are null, hold a null, or
+    have no finite norm above 0 take no part; only those of equal length are compared.
+    """
+    clean = lambda df, key, value: df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(value)).where(~F.exists(value, lambda x: x.isNull())).withColumn("dim", F.size(value))
+    v, q = clean(vectors, "vec_id", "embedding"), clean(queries, "qid", "q")
+    vn, qn = (max(1, -(-df.count() // block)) for df in (v, q))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(vn)).cast("int")).withColumn("qb", numbers(qn))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qn)).cast("int")).withColumn("vb", numbers(vn))
+    schema = StructType([q.schema["qid"], v.schema["vec_id"], StructField("score", DoubleType())])
+
+    def unit(rows: pa.Table, key: str, value: str) -> tuple[np.ndarray, pa.Array]:
+        m = rows.column(value).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((m * m).sum(1))
+        ok = np.isfinite(norm) & (norm > 0)
+        return m[ok] / norm[ok, None], rows.column(key).combine_chunks().filter(pa.array(ok))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["qid", "vec_id", "score"]
+        (a, a_ids), (b, b_ids) = (unit(t, *c) if t.num_rows else (None, pa.array([])) for t, c in ((left, ("qid", "q")), (right, ("vec_id", "embedding"))))
+        if not len(a_ids) or not len(b_ids):
+            return pa.table([pa.array([], left.schema.field("qid").type), pa.array([], right.schema.field("vec_id").type), pa.array([], pa.float64())], names)
+        place = np.empty(len(b_ids), np.int64)
+        place[pc.sort_indices(b_ids).to_numpy()] = np.arange(len(b_ids))
+        s = a @ b.T
+        s = np.sign(s) * np.floor(np.abs(s) * 10**digits + 0.5) / 10**digits
+        least = np.partition(s, -k, axis=1)[:, -k] if k < len(b_ids) else np.full(len(s), -np.inf)
+        rows, cols = np.nonzero(s >= least[:, None])
+        order = np.lexsort((place[cols], -s[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, cols = rows[kept], cols[kept]
+        return pa.table([a_ids.take(pa.array(rows)), b_ids.take(pa.array(cols)), pa.array(s[rows, cols])], names)
+
+    keys = ["dim", "qb", "vb"]
+    return top_k(q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(best, schema), k, tie="vec_id", digits=digits)
+
+
 def fuse(hits: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of hits (qid, list_id, method, doc_id, rank): (qid, doc_id, rrf_score, methods, best_rank).
 

@@ -73,6 +73,20 @@ def vector_topk_filtered(spark, sf_dir):
     return R.top_k(R.cosine_scores(table(spark, sf_dir, "embeddings").where(R.filters(label=3)), _vector_queries(spark, sf_dir)), 10, tie="vec_id")
 
 
+def _every_vector(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+def vector_topk_all(spark, sf_dir):
+    """Ten nearest vectors of every vector."""
+    return R.nearest(table(spark, sf_dir, "embeddings"), _every_vector(spark, sf_dir), 10)
+
+
+def vector_topk_filtered_all(spark, sf_dir):
+    """Ten nearest vectors of label 3 of every vector."""
+    return R.nearest(table(spark, sf_dir, "embeddings").where(R.filters(label=3)), _every_vector(spark, sf_dir), 10)
+
+
 def _vector_sql(keep: str) -> str:
     dot = "list_reduce(list_transform(list_zip(v, q), lambda p: p[1] * p[2]), lambda a, b: a + b)"
     norm = lambda c: f"sqrt(list_reduce(list_transform({c}, lambda x: x * x), lambda a, b: a + b))"
@@ -188,7 +202,7 @@ def _fetch_sql(at: str) -> str:
     return f"(SELECT section_id, chunk_index, 1.0::DOUBLE AS score, 'section_fetch' AS method FROM p WHERE section_id = '{at}' OR starts_with(section_id, '{at}.') ORDER BY section_id, chunk_index LIMIT 3)"
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_global_stats, bm25_title_bonus, token_stats, doc_length_stats, vector_topk, vector_topk_filtered, rrf_fuse, hybrid_multi_query, pool_first_wins, pool_promote, pinned_rank, rerank_lexical, context_budget, ref_frequency_expand, section_prefix_fetch)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_global_stats, bm25_title_bonus, token_stats, doc_length_stats, vector_topk, vector_topk_filtered, vector_topk_all, vector_topk_filtered_all, rrf_fuse, hybrid_multi_query, pool_first_wins, pool_promote, pinned_rank, rerank_lexical, context_budget, ref_frequency_expand, section_prefix_fetch)}
 _FUSED = "sum(1.0::DOUBLE / (60 + rank)) AS s, list_sort(list_distinct(list(method))) AS methods, min(rank) AS best_rank"
 ORACLE = {
     "bm25_topk": _bm25_sql(),

@@ -238,3 +238,32 @@ def test_throttle(spark):
 def test_trace_pages(spark):
     t = spark.createDataFrame([(1, 1, "generation"), (1, 2, "agentic.gap_analysis.iter0"), (1, 3, "agentic.followup_q0.iter1.hybrid"), (1, 4, "agentic.verdict_converged.iter2"), (1, 5, "agentic.cap_reached")], "request_id long, seq int, stage string")
     assert [(r.page, r.stage) for r in A.trace_pages(t).orderBy("seq").collect()] == [(0, "generation"), (0, "agentic.gap_analysis"), (1, "agentic.followup_q0.hybrid"), (1, "agentic.verdict_converged"), (1, "agentic.cap_reached")]
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_against_brute_force(spark, block):
+    import random
+    from math import sqrt
+
+    rng = random.Random(1)
+    given = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4), (62, [1.0, None, 0.0, 0.0]), (63, [1.0, 2.0])]
+    vectors = spark.createDataFrame(given, "vec_id long, embedding array<float>")
+    out = {(r.qid, r["rank"]): (r.vec_id, r.score) for r in R.nearest(vectors, vectors.selectExpr("vec_id AS qid", "embedding AS q"), 3, block).collect()}
+    norm = lambda v: sqrt(sum(x * x for x in v))
+    usable = [(i, v) for i, v in given if v and None not in v and norm(v)]
+    want = {}
+    for i, v in usable:
+        scored = sorted((-round(sum(x * y for x, y in zip(v, w, strict=True)) / (norm(v) * norm(w)), 6), j) for j, w in usable if len(w) == len(v))
+        want |= {(i, n): (j, -s) for n, (s, j) in enumerate(scored[:3], 1)}
+    assert out == want
+
+
+@pytest.mark.parametrize("name,keep", [("vector_topk", "true"), ("vector_topk_filtered", "label = 3")])
+def test_every_vector_is_a_query(spark, sf_dir, name, keep):
+    from marlstone.plans import catalogue
+    from marlstone.session import table
+
+    queries, v = catalogue.queries(), table(spark, sf_dir, "embeddings")
+    whole = queries[f"{name}_all"](spark, sf_dir)
+    assert whole.select("qid").distinct().count() == v.count() and whole.count() == v.count() * min(10, v.where(keep).count())
+    assert rows(whole.where("qid < 10").select("qid", "vec_id", "score", "rank"), "qid", "rank") == rows(queries[name](spark, sf_dir).select("qid", "vec_id", "score", "rank"), "qid", "rank")
