@@ -8,11 +8,16 @@ kept depends on the hash alone, so the sketch of a union is the union of the ske
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.session import materialize
+
 WORDS = 5
 #: 1 / 64 of the range: MD5 in hex below this.
 LIMIT = "04"
+#: Texts whose sketch has fewer hashes than this are compared by all their shingles.
+EXACT_BELOW = 4
 
 
 def _bound(value: Column, body) -> Column:
@@ -71,6 +76,53 @@ def containment_pairs(left: DataFrame, right: DataFrame, at_least: float = 0.5)
     return shared.where(F.col("count") >= at_least * F.col("n")).select("left_id", "right_id", (F.col("count") / F.col("n")).alias("share"))
 
 
+def hashed(texts: DataFrame, words: int = WORDS, limit: str = LIMIT) -> DataFrame:
+    """texts with their sketch, a 64-bit hash of each distinct shingle (shingles) and a number for the row (doc_row) in place of the text."""
+    runs = texts.withColumn("s", shingles(F.coalesce(F.col("text"), F.lit("")), words)).withColumn("doc_row", F.monotonically_increasing_id())
+    kept = F.filter(F.transform("s", lambda x: F.substring(F.md5(x), 1, 16)), lambda h: h < F.lit(limit))
+    each = runs.withColumn("shingles", F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))).withColumn("sketch", F.array_distinct(kept))
+    return materialize(each.drop("s", "text"), "shingles")
+
+
+def containments(left: DataFrame, right: DataFrame, at_least: float = 0.5, exact_below: int = EXACT_BELOW) -> DataFrame:
+    """(left_id, right_id, share, exact): pairs of rows of hashed() of which at least that share of left's shingles lies in right; ids are doc_row.
+
+    The share is estimated by the sketches, but where left's sketch has fewer than `exact_below` hashes, as that of a
+    short text, it is counted over all shingles. Of those, left looks up its rarest only: a pair that shares enough shares one
+    of any n - ceil(at_least * n) + 1. Texts without a word have no pair. A text under WORDS words is one shingle, which
+    only an equal text has.
+    """
+    small = F.size("sketch") < exact_below
+    sketches = lambda t: t.select(F.col("doc_row").alias("doc_id"), "sketch")
+    estimated = containment_pairs(sketches(left.where(~small)), sketches(right), at_least).withColumn("exact", F.lit(False))
+
+    short = left.where(small & (F.size("shingles") > 0)).select(F.col("doc_row").alias("left_id"), "shingles", F.size("shingles").alias("n"))
+    asked = short.select("left_id", "n", F.explode("shingles").alias("h"))
+    there = right.select(F.col("doc_row").alias("right_id"), F.explode("shingles").alias("h")).join(asked.select("h").distinct(), "h", "left_semi")
+    there = materialize(there, "shared-shingles")
+    known = asked.join(there.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rare = known.withColumn("place", F.row_number().over(W.partitionBy("left_id").orderBy("df", "h"))).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1)
+    pairs = rare.where("df > 0").join(there, "h").where("left_id != right_id").select("left_id", "right_id").distinct()
+    held = there.groupBy("right_id").agg(F.collect_list("h").alias("held"))
+    counted = pairs.join(short, "left_id").join(held, "right_id").withColumn("both", F.size(F.array_intersect("shingles", "held")))
+    exact = counted.where(F.col("both") >= at_least * F.col("n")).select("left_id", "right_id", (F.col("both") / F.col("n")).alias("share"), F.lit(True).alias("exact"))
+    return estimated.unionByName(exact)
+
+
+def corpus_containments(docs: DataFrame, benchmark: DataFrame, at_least: float = 0.5) -> DataFrame:
+    """(kind, left_id, right_id, share, exact): containments() of every document in the other documents, and of every benchmark text (item_id, text) in them.
+
+    Repeated rows give rows of their own; rows with the same id aren't compared, null ids take no part.
+    """
+    own = docs.where("doc_id IS NOT NULL").select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), "text")
+    texts = hashed(own.unionByName(benchmark.where("item_id IS NOT NULL").select(F.lit("benchmark").alias("kind"), F.col("item_id").cast("long").alias("id"), "text")))
+    found = containments(texts, texts.where("kind = 'document'"), at_least)
+    a = texts.select(F.col("doc_row").alias("left_id"), "kind", F.col("id").alias("l"))
+    b = texts.select(F.col("doc_row").alias("right_id"), F.col("id").alias("r"))
+    named = found.join(a, "left_id").join(b, "right_id").where("kind = 'benchmark' OR l != r")
+    return named.select("kind", F.col("l").alias("left_id"), F.col("r").alias("right_id"), "share", "exact")
+
+
 ORACLE_SQL = f"""
 WITH t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS w FROM documents),

@@ -236,6 +236,32 @@ def test_containment_of_unequal_documents(spark):
     assert set(merged) == {h for r in sketches.where("doc_id > 1").collect() for h in r.sketch}
 
 
+def test_containment_of_short_texts(spark):
+    rng = random.Random(11)
+    long_ = [[f"w{rng.randrange(5000)}" for _ in range(600)] for _ in range(20)]
+    pairs = [(i, " ".join(w)) for i, w in enumerate(long_)]
+    asked = []
+    for k in range(60):  # passages, some with a part of other words, one a text of four words
+        w, at, n = rng.choice(long_), rng.randrange(500), rng.randrange(6, 60)
+        asked.append((k, " ".join(w[at : at + n] + [f"z{k}x{j}" for j in range(rng.choice([0, 0, 2, n]))])))
+    asked += [(60, "one two three four"), (61, None), (62, " "), (0, None)]
+    pairs += [(100 + k, t) for k, t in asked if t and k % 2] + [(None, asked[0][1])]
+    given, benchmark = docs(spark, pairs), spark.createDataFrame(asked, "item_id long, text string")
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    held = {i: cut(t) for i, t in pairs if i is not None}
+    lefts = [("benchmark", i, cut(t)) for i, t in asked] + [("document", i, s) for i, s in held.items()]
+    want = {(kind, i, j): len(s & t) / len(s) for kind, i, s in lefts if s and len(s) < 100 for j, t in held.items() if (kind, i) != ("document", j) and len(s & t) >= 0.5 * len(s)}
+    sizes = {(kind, i): len(s) for kind, i, s in lefts if s}
+    out = {(r.kind, r.left_id, r.right_id): r.share for r in fingerprints.corpus_containments(given, benchmark).collect() if sizes[r.kind, r.left_id] < 100}
+    exact = {(r.kind, r.left_id) for r in fingerprints.corpus_containments(given, benchmark).where("exact").collect()}
+    assert len(exact) > 50 and {k: v for k, v in out.items() if k[:2] in exact} == {k: v for k, v in want.items() if k[:2] in exact}
+    assert len(want.keys() & out.keys()) >= 0.9 * len(want) > 50
+
+
 # 7
 
 
