@@ -1,7 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are sequences of words. Equal lines are found by a 128-bit hash. Of those, the lines of at least `min_words` words are also
-compared within an edit bound of one word (inserted, removed or replaced): a line emits the hash of itself and of
+compared within an edit bound that grows with the shorter line (`bound`): one word inserted, removed or replaced up to 19
+words, one more for each doubling from there.
+
+One edit: a line emits the hash of itself and of
 every variant with one word deleted. Two lines within the bound share a key: one that replaces a word
 shares the variant without it, at the same place; one that has a word more has a variant that is the
 other. Within a key the earliest line of each side is all that the others need, so no key forms all its
@@ -10,6 +13,10 @@ pairs, and a template that millions of lines share costs them one row each.
 A line without a partner has nothing to emit. With one edit, either the first or the last half of
 the shorter line is the same in both, so only lines that share such a half with another one emit
 variants, and only their texts are fetched. Candidate pairs are verified by their edit distance.
+
+More edits, at 20 words or more: of k + 1 segments of the shorter line one is the same in the longer, at a place that the edits
+before and after it allow. Lines emit their segments, and the stretches where a segment of a shorter or equally long partner may lie. Lines
+that meet form all their pairs, which are verified too; segments have 6 words or more.
 """
 
 from __future__ import annotations
@@ -24,7 +31,38 @@ from pyspark.sql import functions as F
 
 from marlstone.session import materialize
 
-MIN_WORDS = 10
+MIN_WORDS = 4
+#: From so many words on the bound is two edits or more.
+LONG_WORDS = 20
+
+
+def bound(n: int) -> int:
+    """Edits allowed between lines of which the shorter has n words: 1 under 20, 2 under 40, 3 under 80 and so on."""
+    return max(1, (n // 10).bit_length())
+
+
+def edits(a: list[str], b: list[str], most: int) -> int | None:
+    """The edit distance of two word sequences, None if it is over most."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most:
+        return None
+    n = len(a)
+    k = next((i for i in range(n) if a[i] != b[i]), n)
+    a, b = a[k:], b[k:]
+    k = next((i for i in range(len(a)) if a[-1 - i] != b[-1 - i]), len(a))
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    far = most + 1
+    row = {j: j for j in range(min(most, len(b)) + 1)}
+    for i, word in enumerate(a, 1):
+        new: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if j == 0 else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (word != b[j - 1]))
+        row = new
+        if min(row.values()) > most:
+            return None
+    found = row.get(len(b), far)
+    return found if found <= most else None
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -98,12 +136,107 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield ready(out)
 
 
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the segments of a line of n words."""
+    parts = bound(n) + 1
+    ends = [n * i // parts for i in range(parts + 1)]
+    return [(x, y - x) for x, y in zip(ends, ends[1:], strict=False)]
+
+
+def _places(m: int) -> tuple[np.ndarray, ...]:
+    """(start, length, tag, asks) of what a line of m words emits: its own segments, and stretches that may be a segment of a partner of n <= m words."""
+    out = [(at, size, m << 8 | i, False) for i, (at, size) in enumerate(_cuts(m))]
+    for n in range(m, LONG_WORDS - 1, -1):
+        k, d = bound(n), m - n
+        if d > bound(m):
+            break
+        if d <= k:
+            for i, (at, size) in enumerate(_cuts(n)):
+                for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
+                    if 0 <= at + shift <= m - size:
+                        out.append((at + shift, size, n << 8 | i, True))
+    start, size, tag, asks = zip(*out, strict=True)
+    return np.array(start), np.array(size), np.array(tag, np.uint64), np.array(asks)
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, key, asks) of rows (h1, word hashes), for lines of LONG_WORDS words or more."""
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 1 << 64)
+    powers, back = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    known: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def ready(out):
+        h, key, asks = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key.view(np.int64)), pa.array(asks)], ["h1", "key", "asks"])
+
+    for batch in batches:
+        ids = np.asarray(batch.column(0))
+        at = batch.column(1).offsets.to_numpy()
+        values = batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64)
+        out: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for r in range(len(ids)):
+            w = values[at[r] : at[r + 1]]
+            n = len(w)
+            while len(powers) < n + 1:
+                powers, back = (np.concatenate((x, x * np.uint64(pow(b, len(x), 1 << 64)))) for x, b in ((powers, base), (back, inverse)))
+            if n not in known:
+                if len(known) > 2000:
+                    known.clear()
+                known[n] = _places(n)
+            start, length, tag, asks = known[n]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * powers[:n], dtype=np.uint64)))
+            key = (sums[start + length] - sums[start]) * back[start] + tag * np.uint64(0xC2B2AE3D27D4EB4F)
+            out.append((np.full(len(start), ids[r]), key, asks))
+            size += len(start)
+            if size > 200_000:
+                yield ready(out)
+                out, size = [], 0
+        if out:
+            yield ready(out)
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, first, line) of the lines at `first` in wanted, each text once."""
+    at = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("wanted"))
+    found = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, "doc_id")
+    texts = found.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
+    return texts.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "line_no").alias("first"), "line").dropDuplicates(["h1", "h2"])
+
+
+def _long_pairs(docs: DataFrame, types: DataFrame, min_words: int) -> DataFrame:
+    """(h1, h2, b_doc, b_line, edits) of distinct lines and the earlier ones within their bound, where it is two or more."""
+    words = _lines(docs).withColumn("w", F.split("line", " ")).where(F.size("w") >= max(LONG_WORDS, min_words))
+    rows = words.select(F.xxhash64("line").alias("h1"), F.transform("w", lambda w: F.xxhash64(w)).alias("w")).mapInArrow(segments, "h1 long, key long, asks boolean")
+    met = rows.groupBy("key").agg(F.collect_set(F.when(~F.col("asks"), F.col("h1"))).alias("own"), F.collect_set(F.when(F.col("asks"), F.col("h1"))).alias("other"))
+    met = met.where((F.size("own") > 0) & (F.size("other") > 1)).select(F.explode("own").alias("x"), "other").select("x", F.explode("other").alias("y")).where("x != y")
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    side = lambda c: types.select(F.col("h1").alias(c), F.struct("h1", "h2", "first").alias(f"{c}_line"))
+    pairs = materialize(pairs.join(side("x"), "x").join(side("y"), "y").select("x_line", "y_line"), "long-pairs")
+    before = F.col("x_line.first") < F.col("y_line.first")
+    pairs = pairs.select(F.when(before, F.col("x_line")).otherwise(F.col("y_line")).alias("early"), F.when(before, F.col("y_line")).otherwise(F.col("x_line")).alias("late"))
+    texts = materialize(_fetched(docs, pairs.select("early.first").union(pairs.select("late.first")).distinct()), "long-texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = x.split(" "), y.split(" ")
+                found.append(edits(a, b, bound(min(len(a), len(b)))))
+            kept = batch.select([0, 1, 4, 5]).append_column("edits", pa.array(found, pa.int32()))
+            yield kept.filter(pa.array([f is not None for f in found], pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("first").alias("f1"), "line"), F.col("late.first") == F.col("f1")).join(texts.select(F.col("first").alias("f2"), F.col("line").alias("earlier")), F.col("early.first") == F.col("f2"))
+    return both.select("late.h1", "late.h2", "line", "earlier", F.col("early.first.doc_id").alias("b_doc"), F.col("early.first.line_no").alias("b_line")).mapInArrow(verify, "h1 long, h2 long, b_doc long, b_line int, edits int")
+
+
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits) of every line that repeats an earlier one.
 
     Lines are split at \\n and numbered from 0; their order is (doc_id, line_no). A line is listed if an earlier one equals it
-    (edits 0), or, where it has at least min_words words (split at single spaces), lies within one
-    inserted, removed or replaced word (edits 1); kept_* is the earliest such line, an equal one first. An
+    (edits 0), or, where both have at least min_words words (split at single spaces), lies within bound() words
+    inserted, removed or replaced (edits: how many); kept_* is the earliest such line, an equal one first. An
     earlier line counts even if it is listed itself.
 
     Rows with a null id or text take no part. Blank lines are layout and never listed. Rows with the same id count
@@ -142,9 +275,10 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     both = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(texts.select(F.col("first").alias("before"), F.col("line").alias("earlier")), "before")
     checked = both.select("h1", "h2", "line", "earlier", F.col("before.doc_id").alias("b_doc"), F.col("before.line_no").alias("b_line")).mapInArrow(verify, "h1 long, h2 long, b_doc long, b_line int")
-    near = checked.groupBy("h1", "h2").agg(F.min(F.struct("b_doc", "b_line")).alias("b")).select("h1", "h2", "b")
+    checked = checked.withColumn("edits", F.lit(1)).unionByName(_long_pairs(docs, types, min_words))
+    near = checked.groupBy("h1", "h2").agg(F.min(F.struct("b_doc", "b_line", "edits")).alias("b")).select("h1", "h2", "b")
     heads = near.join(types.select("h1", "h2", "first"), ["h1", "h2"]).select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("b.b_doc").alias("kept_doc_id"), F.col("b.b_line").alias("kept_line_no"), F.lit(1).alias("edits")
+        F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("b.b_doc").alias("kept_doc_id"), F.col("b.b_line").alias("kept_line_no"), F.col("b.edits").alias("edits")
     )
     return equal.drop("h1", "h2").unionByName(heads)
 

@@ -169,6 +169,35 @@ def test_line_dedup_cases(spark):
     assert line_dedup.duplicate_lines(given.limit(0)).count() == 0
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_near_lines_against_plain_edit_distance(spark):
+    rng = random.Random(8)
+    lines = ["In erre to it therble whrehe at.", "In erre to it rendon whrehe at."]
+    for base in ([rng.choice("abcdefgh") for _ in range(n)] for n in (4, 5, 7, 9, 10, 19, 20, 21, 22, 39, 40, 41, 79, 80, 83)):
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randrange(6)):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[at : at + (kind > 0)] = [rng.choice("abcdefgh")] * (kind < 2)
+            lines.append(" ".join(w))
+    out = {r.doc_id: (r.kept_doc_id, r.edits) for r in line_dedup.duplicate_lines(docs(spark, list(enumerate(lines)))).collect()}
+    want, words = {}, [x.split(" ") for x in lines]
+    for i, w in enumerate(words):
+        near = [(j, d) for j in range(i) if (d := plain_distance(w, words[j])) <= (line_dedup.bound(n) if (n := min(len(w), len(words[j]))) >= line_dedup.MIN_WORDS else 0)]
+        if near:
+            want[i] = next(((j, 0) for j, d in near if d == 0), near[0])
+    assert out == want and out[1] == (0, 1) and {d for _, d in out.values()} >= {0, 1, 2, 3}
+
+
 @pytest.mark.parametrize("a,b,ok", [("a b c", "a b c", True), ("a b c", "a x c", True), ("a b c", "a c", True), ("a c", "a b c", True), ("a b c", "c b a", False), ("a b", "b a", False), ("a", "a b c", False)])
 def test_within_one(a, b, ok):
     assert line_dedup.within_one(a.split(), b.split()) is ok
