@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from marlstone.session import scratch
 
 CHUNK = 1 << 18
+#: The start of a record: the version and the name of its first header.
+START = re.compile(rb"WARC/\d{1,9}\.\d{1,9}\r\n[A-Za-z-]{1,99}:")
 INDEX_SCHEMA = "file string, record_no long, page_id long, url string, offset long, length long, payload_bytes long, payload_sha1 string, status string"
 
 
@@ -102,16 +105,34 @@ class _Inflated:
 
     started = False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
-        at = self.buffer.find(mark)
-        while at < 0:
-            if len(self.buffer) > most or not self._more():
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes up to and with the mark, however many; None if the stream ends before it."""
+        seen = 0
+        while (at := self.buffer.find(mark, seen)) < 0:
+            seen = max(0, len(self.buffer) - len(mark) + 1)
+            if not self._more():
                 return None
-            at = self.buffer.find(mark)
         out = bytes(self.buffer[: at + len(mark)])
         del self.buffer[: at + len(mark)]
         return out
 
+    def begins(self, mark: bytes) -> bool:
+        """Whether what is left starts with the mark, or is a part of it at the stream's end."""
+        while len(self.buffer) < len(mark) and self._more():
+            pass
+        return mark.startswith(bytes(self.buffer[: len(mark)]))
+
+    def skip(self, most: int = 256) -> bool:
+        """Drop at least one byte and all up to the next start of a record; whether there is one. A start has at most `most` bytes."""
+        del self.buffer[:1]
+        while not (found := START.search(self.buffer)):
+            del self.buffer[: max(0, len(self.buffer) - most)]
+            if not self._more():
+                self.buffer.clear()
+                return False
+        del self.buffer[: found.start()]
+        return True
+
     def take(self, n: int) -> Iterator[bytes]:
         """Up to n bytes, in chunks; fewer if the stream ends."""
         while n:
@@ -126,9 +147,9 @@ class _Inflated:
 def normalise_file(source, target, name: str) -> Iterator[dict]:
     """Rewrite one file; yields index rows. source and target are binary streams.
 
-    A stream that ends within a record, or holds what is no WARC record, ends the file there:
-    records before it are kept, and a last row has status `truncated` or `malformed` and
-    length 0. The member of an unfinished record is not written.
+    What is no WARC record, or has no trailer where its length says, gives a row with status `malformed` and length 0,
+    and reading goes on at the next start of a record after the bad one's. A stream that ends within a record has
+    a row `truncated`. The member of such a record is not written. Headers may have any size.
     """
     stream, offset, number = _Inflated(source), 0, 0
 
@@ -136,17 +157,28 @@ def normalise_file(source, target, name: str) -> Iterator[dict]:
         return {"file": name, "record_no": number, "page_id": None, "url": None, "offset": offset, "length": 0, "payload_bytes": 0, "payload_sha1": None, "status": "ok"} | x
 
     while True:
+        if not stream.begins(b"WARC/"):
+            yield row(status="malformed")
+            number += 1
+            if not stream.skip():
+                return
+            continue
         head = stream.until(b"\r\n\r\n")
         if head is None:
             if stream.buffer or stream.cut:
-                yield row(status="truncated" if stream.ended else "malformed")
+                yield row(status="truncated")
             return
         lines = head.decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
-        if not lines[0].startswith("WARC/") or not fields.get("content-length", "").isdigit():
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()) or START.search(head, 1):
             yield row(status="malformed")
-            return
-        size, got, sha, squeeze, parts = int(fields["content-length"]), 0, hashlib.sha1(), _member(), []
+            number += 1
+            stream.buffer[:0] = head
+            if not stream.skip():
+                return
+            continue
+        size, got, sha, squeeze, parts = int(length), 0, hashlib.sha1(), _member(), []
         parts.append(squeeze.compress(head))
         for piece in stream.take(size):
             got += len(piece)
@@ -154,8 +186,13 @@ def normalise_file(source, target, name: str) -> Iterator[dict]:
             parts.append(squeeze.compress(piece))
         end = b"".join(stream.take(4))
         if got < size or end != b"\r\n\r\n":
-            yield row(status="truncated" if stream.ended else "malformed")
-            return
+            stream.buffer[:0] = zlib.decompressobj(31).decompress(b"".join(parts) + squeeze.flush(zlib.Z_SYNC_FLUSH)) + end
+            more = stream.skip()  # a length that is too large has taken in what follows
+            yield row(status="malformed" if more or got == size and len(end) == 4 else "truncated")
+            number += 1
+            if not more:
+                return
+            continue
         parts.append(squeeze.compress(end) + squeeze.flush())
         length = 0
         for piece in parts:

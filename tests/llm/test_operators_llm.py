@@ -117,6 +117,27 @@ def test_warc_broken_files(spark, tmp_path):
     assert warc.normalise(spark.createDataFrame([], "path string"), f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_goes_on_after_bad_records():
+    import gzip
+    import io
+
+    a, b, c = (warc.warc_record(i, f"u{i}", f"text {i}" * 400) for i in (1, 2, 3))
+    huge = warc.warc_record(4, "http://h/" + "x" * 3_000_000, "huge")
+
+    def run(data):
+        out = io.BytesIO()
+        rows = list(warc.normalise_file(io.BytesIO(gzip.compress(data)), out, "f"))
+        held = [gzip.decompress(out.getvalue()[r["offset"] : r["offset"] + r["length"]]) for r in rows if r["status"] == "ok"]
+        assert [r["record_no"] for r in rows] == list(range(len(rows)))
+        return [r["status"] for r in rows], held
+
+    assert run(a + huge + b) == (["ok"] * 3, [a, huge, b])
+    assert run(a + b"junk\r\n\r\nmore " * 40_000 + b + c) == (["ok", "malformed", "ok", "ok"], [a, b, c])
+    bad = [b[:-4], b.replace(b"Content-Length: ", b"Content-Length: x"), b.replace(b"Content-Length: ", b"Content-Length: 9"), b.replace(b"Content-Length: 2", b"Content-Length: "), b[: b.index(b"X-Page-Id")]]
+    for broken in bad:
+        assert run(a + broken + c + c) == (["ok", "malformed", "ok", "ok"], [a, c, c]), broken[:300]
+
+
 # 4
 
 
