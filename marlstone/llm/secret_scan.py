@@ -5,8 +5,10 @@ and, for the words of a short list, the word; of its neighbours from three befor
 holds such words and how dense its symbols are. Weights are fitted by maximum likelihood, the gradient coming from the
 forward-backward recursions; tags are decoded by Viterbi.
 
-There are no labelled secrets, so the training text is made: windows of documents in which no candidate occurs, a
-bounded sample, into which secrets of public formats, drawn at random, are written.
+There are no labelled secrets, so the training text is made: windows of a bounded sample of documents, cut from the stretches
+between candidates, into which secrets of public formats, drawn at random, are written. Sentences of our own (`CARRIER`) stand in
+where a sample has too few such stretches, so there always is a model. What a candidate is isn't known, so none is trained on; hashes,
+ids and the like that are no secret are made, as secrets are.
 
 Decoding visits few tokens one by one. Where O leads the other tags by more than transitions can
 return to them, every best path has O there; Viterbi runs over the stretches between, from O to O.
@@ -27,7 +29,24 @@ from pyspark.sql import functions as F
 
 #: Bound of the sample that training windows are cut from, in documents.
 MAX_DOCS = 700
+#: Windows come from so many stretches of text at least, of so many words; carrier text makes up what the sample lacks.
+LEAST_STRETCHES, LEAST_WORDS = 100, 4
+CARRIER = (
+    "The meeting was moved to the second week of the month, and everyone who had signed up was told by letter.",
+    "Please read the notes below before you change anything; most of the settings are shared by several services.",
+    "def load(path): return open(path).read() if path else None # the caller closes nothing",
+    "for item in items: total = total + item.price * item.count; print(total)",
+    "server { listen: port; host: example; timeout: 30; retries: 3 } # default section of the file",
+    "INFO worker started, queue empty, waiting for jobs; WARN disk is nearly full; INFO worker stopped",
+    "SELECT name, count(*) FROM orders JOIN customers USING (id) WHERE total > 100 GROUP BY name",
+    '{"name": "sample", "size": 12, "tags": ["a", "b"], "active": true, "parent": null}',
+    "<div class=\"row\"><a href=\"/about\">About us</a> <p>Opening hours: 9 to 17</p></div>",
+    "Le rapport de la commission sera rendu public avant la fin de l'année, selon le ministre.",
+    "Die Sitzung beginnt um neun Uhr und endet, sobald alle Punkte der Liste besprochen sind.",
+    "El informe anual se publica en marzo y contiene los datos de todas las regiones del país.",
+)
 SEED = 5
+WORD, VALUE = re.compile(r"\S*"), re.compile(r"\s*\S*")
 TOKEN = re.compile(r"[\w+/-]+|[^\w\s]")
 OFFSETS = (-3, -2, -1, 0, 1)
 KEYWORDS = frozenset("password passwd pwd pass secret token key apikey api_key api-key access_key secret_key auth authorization bearer credential credentials private client_secret aws login".split())
@@ -105,15 +124,43 @@ def _make(rng: random.Random) -> tuple[str, str, str]:
     return word + assign + quote, draw(low + dec, 6) + rng.choice("!@#$%") + draw(any_, 5), quote
 
 
+def _identifiers(rng: random.Random) -> list[str]:
+    """Made text that holds long mixed tokens and no secret: a hash, an id, the address of a page, a file name."""
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    return [
+        f"{rng.choice(['commit', 'revision', 'tree', 'sha1', 'sha256', 'md5'])} {draw(rng.choice([7, 12, 32, 40, 64]))}",
+        f"{rng.choice(['id', 'uuid', 'request', 'session'])} {draw(8)}-{draw(4)}-4{draw(3)}-a{draw(3)}-{draw(12)}",
+        f"https://www.example.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['item', 'watch', 'p', 'articles'])}/{draw(rng.randrange(8, 24))}{rng.choice(['', '.html', '?page=2', '/index.php'])}",
+        f"{rng.choice(['IMG', 'report', 'build', 'part'])}_{rng.randrange(2000, 2030)}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d}_{draw(6)}.{rng.choice(['jpg', 'pdf', 'log', 'parquet'])}",
+    ]
+
+
 CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{10,}|" + "|".join(rf"\b{k}\b\s*[=:]" for k in sorted(KEYWORDS)), re.IGNORECASE)
 
 
+def stretches(texts: list[str]) -> list[str]:
+    """The parts of texts before, between and after candidates, with the word of a candidate left out; carrier text where they are few.
+
+    A text without a candidate is one part, the whole. Parts of other texts are of LEAST_WORDS words or more.
+    """
+    out = []
+    for text in texts:
+        at, parts = 0, []
+        for found in CANDIDATE.finditer(text):
+            if found.start() < at:
+                continue
+            head = text[at : found.start()]
+            parts.append(head[: -len(head.split()[-1])] if head and not head[-1].isspace() else head)
+            # a key word's value, even after a space or in quotes, goes with it
+            at = (VALUE if found[0][-1] in "=:" else WORD).match(text, found.end()).end()
+        out += [x for x in (*parts, text[at:]) if len(x.split()) >= LEAST_WORDS] if parts else [text]
+    return out + [CARRIER[i % len(CARRIER)] for i in range(LEAST_STRETCHES - len(out))]
+
+
 def training_windows(texts: list[str], seed: int = SEED) -> list[tuple[list[str], list[int], tuple[str, ...]]]:
     """(tokens, tags, file features) of windows of 40 tokens; two of three have a made secret."""
     rng, out = random.Random(seed), []
-    for text in texts:
-        if CANDIDATE.search(text):
-            continue
+    for text in stretches(texts):
         words = text.split()
         for _ in range(3):
             at = rng.randrange(max(1, len(words)))
@@ -127,7 +174,7 @@ def training_windows(texts: list[str], seed: int = SEED) -> list[tuple[list[str]
                 tags = [O] * len(head) + [B] + [I] * (len(middle) - 1) + [O] * len(tail)
                 tokens = head + middle + tail
             elif kind == 4:  # what looks like secrets and isn't: plain numbers, dates, addresses, key words in prose
-                plain = rng.choice([f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}", f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", ".".join(str(rng.randrange(256)) for _ in range(4)), *[f"{rng.choice(words or ['a']).lower()}{rng.choice(['', '.', '_', '-'])}{rng.choice(['', '7', '42', '08', '1984'])}@{rng.choice(['mail', 'post', 'web', rng.choice(words or ['b'])])}{rng.choice(['', '3', '12'])}.{rng.choice(['com', 'org', 'example.com', 'net'])}" for _ in range(4)], f"https://www.{rng.choice(words or ['c'])}.org/{rng.choice(words or ['d'])}/{rng.randrange(10**6)}", f"DE{rng.randrange(10**20):020d}", " ".join(str(rng.randrange(1000, 9999)) for _ in range(4)), f"the {rng.choice(sorted(KEYWORDS))} {rng.choice(words or ['e'])}", f"{rng.choice(['v', 'version', 'x', 'no'])}{rng.randrange(100)}", rng.choice(words or ["f"]) * 6])
+                plain = rng.choice([f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}", f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", ".".join(str(rng.randrange(256)) for _ in range(4)), *[f"{rng.choice(words or ['a']).lower()}{rng.choice(['', '.', '_', '-'])}{rng.choice(['', '7', '42', '08', '1984'])}@{rng.choice(['mail', 'post', 'web', rng.choice(words or ['b'])])}{rng.choice(['', '3', '12'])}.{rng.choice(['com', 'org', 'example.com', 'net'])}" for _ in range(4)], f"https://www.{rng.choice(words or ['c'])}.org/{rng.choice(words or ['d'])}/{rng.randrange(10**6)}", f"DE{rng.randrange(10**20):020d}", " ".join(str(rng.randrange(1000, 9999)) for _ in range(4)), f"the {rng.choice(sorted(KEYWORDS))} {rng.choice(words or ['e'])}", f"{rng.choice(['v', 'version', 'x', 'no'])}{rng.randrange(100)}", rng.choice(words or ["f"]) * 6, *_identifiers(rng)])
                 tokens = TOKEN.findall(f"{left} {plain} {right}")
                 tags = [O] * len(tokens)
             else:
@@ -148,7 +195,7 @@ def _active(tokens: list[str], t: int, file: tuple[str, ...], features) -> list[
 
 
 def fit(texts: list[str], seed: int = SEED, rounds: int = 60, penalty: float = 1.0) -> dict | None:
-    """Weights of the field: unary {feature: 3 numbers}, transitions 3 x 3, starts 3. None without text to train on."""
+    """Weights of the field: unary {feature: 3 numbers}, transitions 3 x 3, starts 3."""
     windows = training_windows(texts, seed)
     if not any(B in tags for _, tags, _ in windows):
         return None

@@ -351,6 +351,21 @@ def test_secret_cases(spark, tagger):
     assert secret_scan.scan(given, None).count() == 0 and secret_scan.find_secrets(given.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("plain", [0, 50])
+def test_secrets_where_every_document_holds_a_candidate(spark, plain):
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"the page at https://www.example.com/item/{draw(20)} was changed in commit {draw(40)} and works again now for all" for _ in range(300)]
+    texts += ["plain words of an ordinary text that goes on for a while"] * plain
+    secret = "AKIA" + "QCN5VJTUYMSSXKC6"
+    pairs = list(enumerate(texts)) + [(1000, f"some words before {secret} and after it"), (1001, f'config has password = "{draw(32)}" in it')]
+    found = secret_scan.find_secrets(docs(spark, pairs)).collect()
+    assert {r.doc_id for r in found} >= {1000, 1001} and len({r.doc_id for r in found if r.doc_id < 1000}) <= 15
+    cut = secret_scan.stretches([texts[0]])
+    assert cut[0].strip() == "was changed in commit" and not any(secret_scan.CANDIDATE.search(x) for x in cut)
+    assert secret_scan.fit([]) is not None
+
+
 # 8
 
 
