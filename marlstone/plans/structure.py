@@ -51,6 +51,15 @@ def normative_summary(spark, sf_dir):
     return normative_sentences(spark, sf_dir).groupBy("strength").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+def normative_sentences_all(spark, sf_dir):
+    """normative_sentences over the documents of all languages."""
+    return S.normative(table(spark, sf_dir, "documents"), ("that", "with", "this"))
+
+
+def normative_summary_all(spark, sf_dir):
+    return normative_sentences_all(spark, sf_dir).groupBy("strength").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
 _NORM = r"""
 t AS (SELECT doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \n\t]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)) AS ss FROM documents WHERE lang = 'en'),
 u AS (SELECT doc_id, (i - 1)::INTEGER AS sent_idx, ss[i] AS text FROM t, unnest(generate_series(1, len(ss))) AS g(i)),
@@ -186,6 +195,13 @@ def definition_map(spark, sf_dir):
     return S.definitions(paras)
 
 
+def definition_map_all(spark, sf_dir):
+    """definition_map over all paragraphs."""
+    docs = table(spark, sf_dir, "documents")
+    paras = S.paragraphs(docs).join(docs.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("section_ord"), F.concat(F.lit("1.5."), "lang").alias("section_number"), F.lower(F.substring("text", 1, 3)).alias("title"), "para_idx", "text")
+    return S.definitions(paras)
+
+
 def truncated_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.truncated(F.col("text"), 120).alias("text"))
 
@@ -195,7 +211,7 @@ def word_statistics(spark, sf_dir):
     return d.groupBy("lang").agg(F.sum("w").alias("words"), F.sum("t").alias("tokens"), F.sum(X.chunk_tokens(F.col("w"))).alias("chunk_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (paragraph_split, gap_sessions, prose_chunks, chunk_overlap_check, normative_sentences, normative_summary, table_serialize, table_chunks_25, grid_collapse, enum_index, enum_lookup_hex, bit_range_overlap, asof_section, interval_narrowest, point_in_interval_last, natural_section_order, heading_extract, html_outline, missing_parents, child_numbers, forward_fill, definition_map, truncated_texts, word_statistics)}
+QUERIES = {f.__name__: f for f in (paragraph_split, gap_sessions, prose_chunks, chunk_overlap_check, normative_sentences, normative_summary, normative_sentences_all, normative_summary_all, table_serialize, table_chunks_25, grid_collapse, enum_index, enum_lookup_hex, bit_range_overlap, asof_section, interval_narrowest, point_in_interval_last, natural_section_order, heading_extract, html_outline, missing_parents, child_numbers, forward_fill, definition_map, definition_map_all, truncated_texts, word_statistics)}
 _PATH = "replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/', '.')"
 _WC = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))"
 ORACLE = {
@@ -224,3 +240,9 @@ ORACLE = {
     "truncated_texts": r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents) SELECT doc_id, CASE WHEN length(f) <= 120 THEN f ELSE regexp_replace(substr(f, 1, 120), ' [^ ]*$', '') || '…' END AS text FROM f",
     "word_statistics": f"WITH d AS (SELECT lang, {_WC} AS w, greatest(1, length(text) // 4) AS t FROM documents) SELECT lang, sum(w)::BIGINT AS words, sum(t)::BIGINT AS tokens, sum(floor(w / 0.75::DOUBLE))::BIGINT AS chunk_tokens FROM d GROUP BY lang",
 }
+_NORM_ALL = _NORM.replace(" FROM documents WHERE lang = 'en'", " FROM documents")
+ORACLE |= {
+    "normative_sentences_all": f"WITH {_NORM_ALL} SELECT doc_id, sent_idx, text, strength FROM n",
+    "normative_summary_all": f"WITH {_NORM_ALL} SELECT strength, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n GROUP BY strength",
+    "definition_map_all": ORACLE["definition_map"].replace("least(len(ps), 2)", "len(ps)"),
+}

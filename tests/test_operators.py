@@ -267,3 +267,14 @@ def test_every_vector_is_a_query(spark, sf_dir, name, keep):
     whole = queries[f"{name}_all"](spark, sf_dir)
     assert whole.select("qid").distinct().count() == v.count() and whole.count() == v.count() * min(10, v.where(keep).count())
     assert rows(whole.where("qid < 10").select("qid", "vec_id", "score", "rank"), "qid", "rank") == rows(queries[name](spark, sf_dir).select("qid", "vec_id", "score", "rank"), "qid", "rank")
+
+
+def test_structure_queries_take_whole_documents(spark, tmp_path):
+    from marlstone.plans import catalogue
+
+    texts = [(1, "abc one\nabc two\nabc three\nxyz four", "en"), (2, "Er sagt that so etwas hier.", "de")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {n: catalogue.queries()[n](spark, str(tmp_path)).collect() for n in ("definition_map_all", "normative_sentences_all", "normative_summary_all")}
+    terms = {r.term: r.text for r in found["definition_map_all"]}
+    assert terms["abc"] == "abc one abc two abc three" and terms["xyz"] == "xyz four"
+    assert [(r.doc_id, r.strength) for r in found["normative_sentences_all"]] == [(2, "that")] and [(r.strength, r.n) for r in found["normative_summary_all"]] == [("that", 1)]
