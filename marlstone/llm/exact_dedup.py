@@ -46,3 +46,10 @@ FROM documents WHERE text IS NOT NULL GROUP BY text
 UNION ALL
 SELECT doc_id, NULL AS digest FROM documents WHERE text IS NULL
 """
+
+COPIES_SQL = """
+SELECT min(doc_id) AS doc_id, md5(text) AS digest, count(*) AS n_copies
+FROM documents WHERE text IS NOT NULL GROUP BY text
+UNION ALL
+SELECT doc_id, NULL AS digest, 1 AS n_copies FROM documents WHERE text IS NULL
+"""

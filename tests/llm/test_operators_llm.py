@@ -50,6 +50,12 @@ def test_exact_dedup_across_salts(spark):
     assert out == {0: 4500, 9: 100, 19: 100, 29: 100, 39: 100, 49: 100}
 
 
+def test_exact_dedup_query_tells_copies(spark, tmp_path):
+    docs(spark, [(1, "x"), (2, "x"), (3, "y"), (4, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.n_copies for r in LQ.queries()["op1_exact_dedup_copies"](spark, str(tmp_path)).collect()}
+    assert out == {1: 2, 3: 1, 4: 1}
+
+
 # 2
 
 
