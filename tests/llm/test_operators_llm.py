@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import os
 import random
 from collections import Counter, defaultdict
 from math import exp, log
@@ -258,12 +259,44 @@ def test_toxicity_held_out(spark):
     assert sum(a and not b for a, b in zip(toxic, truth)) / (len(truth) - sum(truth)) <= 0.02
 
 
+def test_toxicity_windows():
+    for text in ("x", "y" * 31, "z" * 32, "w" * 33, "ab " * 400_000):
+        data, spots, owner = (np.concatenate([np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for x in c]) for c in zip(*toxicity.blocks([text, ""]), strict=True))
+        n = max(len(text), 32)
+        assert set(owner.tolist()) == {0} and set(spots[:, 1].tolist()) == {128} and len(spots) == max(0, -(-(n - 32) // 16)) + 1
+    blocks = list(toxicity.blocks(["ab " * 400_000]))
+    assert len(blocks) > 1 and sum(len(d) for d, _, _ in blocks) >= 4 * 1_200_000
+
+
+def test_toxicity_ties():
+    """A text at the threshold is toxic, and copies of a text share their score."""
+    rows = toxic_rows(600, 3)
+    model = toxicity.fit([(t, y) for _, t, y in rows])
+    one = next(t for _, t, y in rows if y)
+    found = float(toxicity.evidence(toxicity.Saved(model["toxic"], model["ordinary"]), [one])[0])
+    assert toxicity.judge(model | {"threshold": found}, [one, one]) == ([0.5, 0.5], [True, True])
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="needs the labelled table")
+def test_toxicity_on_labels():
+    """Labelled documents held out of the fit: their labels hold noise and four languages, of which three have few toxic documents."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT text, toxic, lang FROM '/root/testdata/sf0.1/labels.parquet' JOIN '/root/testdata/sf0.1/documents.parquet' USING (doc_id) WHERE text <> '' ORDER BY md5(doc_id::VARCHAR)").fetchall()
+    model = toxicity.fit([(t, y) for i, (t, y, _) in enumerate(rows) if i % 4])
+    held = rows[::4]
+    _, found = toxicity.judge(model, [t for t, _, _ in held])
+    english = [f for f, (_, y, lang) in zip(found, held, strict=True) if y and lang == "en"]
+    clean = [f for f, (_, y, _) in zip(found, held, strict=True) if not y]
+    assert sum(english) / len(english) >= 0.85 and sum(clean) / len(clean) <= 0.02
+
+
 def test_toxicity_cases(spark):
     rows = toxic_rows(400, 2)
     given = docs(spark, [(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (None, " ".join(BAD * 3)), (1002, "a b c"), (1003, LONG + " " + " ".join(BAD))])
     labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows] + [(None, 1, 1), (3, None, 1), (1000, 1, 1), (0, 0, 1)], "doc_id long, toxic int, text int")
     out = {r.doc_id: (r.score, r.toxic) for r in toxicity.find_toxic(given, labels).collect()}
-    assert len(out) == 405 and out[1000] == (None, False) and out[1001] == (None, False) and out[1002] == (None, False) and out[None][1] and out[1003][1]
+    assert len(out) == 405 and out[1000] == (None, False) and out[1001] == (None, False) and out[1002] == (0.0, False) and out[None][1] and out[1003][1]
     left = toxicity.drop_toxic(given, labels)
     assert left.columns == given.columns and {r.doc_id for r in left.select("doc_id").collect()} == {k for k, v in out.items() if not v[1]}
     assert not any(r.toxic for r in toxicity.find_toxic(given, labels.limit(0)).collect())
