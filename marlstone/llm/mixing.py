@@ -101,7 +101,7 @@ def _placed(docs: DataFrame, carry: bool, budget_tokens, curriculum, weights, se
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("__demand") - F.col("__mid")) / F.col("__held")).cast("int"))))
     )
     due = (F.col("__mid") + F.col("epoch") * F.col("__held")) / F.col("__budget")
-    return placed.withColumn("position", F.round(_invert(due, curriculum), 6))
+    return placed.withColumn("__at", _invert(due, curriculum))
 
 
 def mix(docs: DataFrame, budget_tokens: int | None = None, curriculum=CURRICULUM, weights: DataFrame | None = None, seed: int = 17) -> DataFrame:
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, curriculum=CURRICULUM
     Shares at the knots are token counts to the curriculum's exponents, or `weights`, a
     table (source, w0, w1, ...) with a weight at each knot; a source it lacks has none and is
     not drawn. budget_tokens is T, by default the tokens of all documents together.
-    position is rounded to six places; ties are ordered by doc_id and epoch.
+    The order is by the exact position, ties by doc_id and epoch; the column position is rounded to six places.
 
     Null source: a source of its own. Null text: no tokens; it takes the place where it
     falls. Null id: ordered as the string "null". Repeated rows are documents of their own. Very
@@ -123,14 +123,18 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, curriculum=CURRICULUM
         F.when(F.col("__src") != "n", F.expr("substring(__src, 2)")).alias("source"),
         F.col("__tok").alias("n_tokens"),
         "epoch",
-        "position",
-    ).orderBy("position", "doc_id", "epoch")
+        F.round("__at", 6).alias("position"),
+        "__at",
+    ).orderBy("__at", "doc_id", "epoch").drop("__at")
 
 
 def mix_documents(docs: DataFrame, budget_tokens: int | None = None, curriculum=CURRICULUM, weights: DataFrame | None = None, seed: int = 17) -> DataFrame:
-    """Like mix(), but the result has the columns of docs, in training order; a document drawn twice is there twice."""
+    """Like mix(), but the result has the columns of docs, in training order; a document drawn twice is there twice.
+
+    Null sources, texts and ids, repeated rows, very long documents and empty tables as in mix(); all columns are kept whatever their names.
+    """
     placed = _placed(docs, True, budget_tokens, curriculum, weights, seed)
-    return placed.orderBy("position", "__id", "epoch").select("__doc.*")
+    return placed.orderBy("__at", "__id", "epoch").select("__doc.*")
 
 
 def oracle(curriculum=CURRICULUM, seed: int = 17) -> str:

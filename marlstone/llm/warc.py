@@ -3,8 +3,9 @@
 A .warc.gz that was compressed as one stream can be read only from its start. The normaliser
 inflates such a file once, as a stream, writes every record as a gzip member of its own, and
 beside the file an index of each record's offset and length. Files are units of work: each is
-handled by one task, memory holds one chunk of one record, and results appear by a rename,
-so a task that runs again, or twice, leaves the same file.
+handled by one task, memory holds one record, compressed, and results appear by a rename. A finished
+file is left as it is by a task that runs again, or twice. Results are named by the base name of the input and a
+hash of its whole path, so inputs of one name in several folders don't meet.
 """
 
 from __future__ import annotations
@@ -34,6 +35,26 @@ def _member() -> "zlib._Compress":
     return zlib.compressobj(6, zlib.DEFLATED, 31)
 
 
+def output_name(path: str) -> str:
+    """The name of the normalised form of a file: its base name with a hash of its whole path."""
+    base = path.rpartition("/")[2]
+    stem, dot, rest = base.partition(".")
+    return f"{stem}-{hashlib.sha1(path.encode('utf-8', 'surrogatepass')).hexdigest()[:16]}{dot}{rest}"
+
+
+def _finish(files: pafs.FileSystem, temporary: str, final: str) -> None:
+    """Give a written file its name, unless another run of the task has done so: some file systems don't rename onto a file."""
+    if files.get_file_info(final).type == pafs.FileType.File:
+        files.delete_file(temporary)
+        return
+    try:
+        files.move(temporary, final)
+    except OSError:
+        if files.get_file_info(final).type != pafs.FileType.File:
+            raise
+        files.delete_file(temporary)
+
+
 def warc_record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     """A WARC/1.0 response-like resource record. Null fields leave out their header; null html is an empty payload."""
     payload = b"" if html is None else html.encode("utf-8", "surrogatepass")
@@ -66,7 +87,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
                     out.write(squeeze.compress(warc_record(None if pd.isna(page_id) else int(page_id), url, html)))
             out.write(squeeze.flush())
         if any_row:
-            files.move(part, final)
+            _finish(files, part, final)
             yield pd.DataFrame({"path": [f"{folder}/{final.rpartition('/')[2]}"]})
         else:
             files.delete_file(part)
@@ -207,8 +228,8 @@ def normalise_file(source, target, name: str) -> Iterator[dict]:
 def normalise(paths: DataFrame, folder: str) -> DataFrame:
     """Normalise the files of paths (path) into folder; the index of all records.
 
-    Beside each file a sidecar `<file>.idx` has one JSON line per record. A file that holds no
-    record gives an empty file and sidecar. Null paths are skipped; a path listed twice gives its rows twice.
+    Each result is named by output_name(), and beside it a sidecar `<file>.idx` has one JSON line per record. A file that holds no
+    record gives an empty file and sidecar. Null paths are skipped; a path listed twice gives its rows twice and one file.
     See normalise_file for broken input.
     """
 
@@ -221,7 +242,7 @@ def normalise(paths: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch["path"].dropna():
                 in_fs, at = pafs.FileSystem.from_uri(path)
-                name = at.rpartition("/")[2]
+                name = output_name(path)
                 temporary = [f"{root}/{name}.{attempt}.tmp", f"{root}/{name}.idx.{attempt}.tmp"]
                 with in_fs.open_input_stream(at, compression=None) as source, out_fs.open_output_stream(temporary[0], compression=None) as target, out_fs.open_output_stream(temporary[1], compression=None) as index:
                     rows: list[dict] = []
@@ -231,8 +252,8 @@ def normalise(paths: DataFrame, folder: str) -> DataFrame:
                         if len(rows) >= 4096:
                             yield pd.DataFrame(rows).astype({"page_id": "Int64"})
                             rows = []
-                out_fs.move(temporary[0], f"{root}/{name}")
-                out_fs.move(temporary[1], f"{root}/{name}.idx")
+                _finish(out_fs, temporary[0], f"{root}/{name}")
+                _finish(out_fs, temporary[1], f"{root}/{name}.idx")
                 if rows:
                     yield pd.DataFrame(rows).astype({"page_id": "Int64"})
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marlstone.functions import text as X
+from marlstone.session import materialize
 
 #: Methods whose hits stay in a result whatever their score.
 PINNED = ("structured_lookup", "fetch_figure", "fetch_field", "fetch_section")
@@ -21,12 +22,14 @@ FIGURES = ("fetch_figure", "figure_ref_expansion")
 def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, t, f, dl): each token of each document, how often, and the document's token count. Write it once per corpus."""
     each = corpus.select(F.col(id_col).alias("doc"), X.tokens(F.col(text_col)).alias("ts"))
-    return each.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("t")).groupBy("doc", "dl", "t").agg(F.count(F.lit(1)).alias("f"))
+    # the count comes before the explode, or each exploded row would carry the whole array along
+    sized = each.select("doc", F.size("ts").alias("dl"), "ts")
+    return sized.select("doc", "dl", F.explode("ts").alias("t")).groupBy("doc", "dl", "t").agg(F.count(F.lit(1)).alias("f"))
 
 
-def corpus_stats(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def corpus_stats(corpus: DataFrame, posts: DataFrame) -> DataFrame:
     """One row (n, avgdl) over all documents, those without a token too."""
-    return corpus.select(F.size(X.tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return corpus.agg(F.count(F.lit(1)).alias("n")).crossJoin(posts.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("all"))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
 
 
 def idf(posts: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
@@ -37,15 +40,16 @@ def idf(posts: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("t", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, title: Column | None = None, keep: Column | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, bonus: float = 1.0) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, title: Column | None = None, keep: Column | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, bonus: float = 1.0, index: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score) of all documents that share a token with a query.
 
     corpus has (doc_id, text, ...), queries (qid, query). Repeated query tokens count each time. `title` adds
     `bonus` for each distinct query token in it. `keep` filters results only: statistics are those of the whole corpus.
-    Scores without magnitude are left out; negative ones stay.
+    Scores without magnitude are left out; negative ones stay. Texts are tokenised once: the postings are written, or taken
+    from `index`, postings() of the same corpus that were written before.
     """
-    posts = postings(corpus)
-    stats = corpus_stats(corpus)
+    posts = index if index is not None else materialize(postings(corpus), "postings")
+    stats = corpus_stats(corpus, posts)
     weights = idf(posts, stats, epsilon)
     asked = queries.select("qid", F.explode(X.tokens(F.col("query"))).alias("t")).groupBy("qid", "t").agg(F.count(F.lit(1)).alias("times"))
     # queries meet the vocabulary first, so only their tokens' postings are weighed

@@ -219,6 +219,8 @@ def _is_band(cells: list[str]) -> bool:
     if len(cells) != 1:
         return False
     text = cells[0]
+    if text.startswith("(") or text.endswith((")", ",")):  # a piece of a header
+        return False
     other = sum(not (c.isspace() or c.isalpha()) for c in text)
     phrase = len(text) >= 10 and " " in text and other < 0.15 * len(text)
     return phrase or (len(text) >= 4 and text[:1].isupper() and text.isalpha())
@@ -228,7 +230,8 @@ def build_grid(raw: list[list[str | None]]) -> tuple[list[str], list[list[str]]]
     """Header and rows of a raw grid.
 
     The width is the most common one of rows of several cells, the smallest on ties. Up to four narrow rows after the first that look like
-    pieces of a header are folded into it. A row that a key leads is padded after the key, other short ones at the end; a lone cell continues the row above.
+    pieces of a header are folded into it, empty ones are passed over. A row that a key leads is padded after the key, other short ones of three
+    cells or more at the end; what is left continues the last cell of the row above, on a new line, if that row has the full width.
     """
     rows = [[" ".join((c or "").split()) for c in r] for r in raw]
     full = [[c for c in r if c] for r in rows]
@@ -238,7 +241,10 @@ def build_grid(raw: list[list[str | None]]) -> tuple[list[str], list[list[str]]]
     width = min(widths, key=lambda k: (-widths[k], k)) if widths else len(full[0])
     head, used = list(rows[0]), 1
     for extra, cells in zip(rows[1:5], full[1:5], strict=True):
-        if cells and (_is_key(cells[0]) or len(cells) >= width or _is_band(cells) or not (len(cells) >= 2 or "(" in cells[0] or ")" in cells[0])):
+        if not cells:
+            used += 1
+            continue
+        if (_is_key(cells[0]) or len(cells) >= width or _is_band(cells) or not (len(cells) >= 2 or "(" in cells[0] or ")" in cells[0])):
             break
         head = [f"{a} {b}".strip() for a, b in zip(head + [""] * len(extra), extra + [""] * len(head), strict=False)][: max(len(head), len(extra))]
         used += 1
@@ -246,16 +252,16 @@ def build_grid(raw: list[list[str | None]]) -> tuple[list[str], list[list[str]]]
     for cells in full[used:]:
         if not cells:
             continue
-        if len(cells) >= width or _is_band(cells):
+        if len(cells) == width or _is_band(cells):
             out.append(cells)
-        elif _is_key(cells[0]) and len(cells) > 1:
+        elif _is_key(cells[0]) and len(cells) < width:
             out.append([cells[0], *[""] * (width - len(cells)), *cells[1:]])
-        elif len(cells) >= 3:
+        elif 3 <= len(cells) < width:
             out.append(cells + [""] * (width - len(cells)))
-        elif out:
-            out[-1] = [*out[-1][:-1], f"{out[-1][-1]} {' '.join(cells)}".strip()]
+        elif out and len(out[-1]) == width:
+            out[-1] = [*out[-1][:-1], f"{out[-1][-1]}\n{' '.join(cells)}".strip()]
         else:
-            out.append(cells + [""] * (width - len(cells)))
+            out.append(cells)
     return [h for h in head if h], out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.operators import retrieval as R
-from marlstone.session import table
+from marlstone.session import materialize, table
 
 _TOK = X.tokens_sql("text")
 
@@ -105,7 +105,7 @@ def _overlap_lists(spark, sf_dir):
     heads = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.substring_index("text", "\n", 1)))).alias("t"))
     want = asked.select("qid", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("t"))
     second = R.top_k(heads.join(want, "t").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), 20).withColumn("method", F.lit("head"))
-    return first.unionByName(second)
+    return materialize(first.unionByName(second), "ranked")
 
 
 _LISTS = f"""
