@@ -14,9 +14,10 @@ A line without a partner has nothing to emit. With one edit, either the first or
 the shorter line is the same in both, so only lines that share such a half with another one emit
 variants, and only their texts are fetched. Candidate pairs are verified by their edit distance.
 
-More edits, at 20 words or more: of k + 1 segments of the shorter line one is the same in the longer, at a place that the edits
-before and after it allow. Lines emit their segments, and the stretches where a segment of a shorter or equally long partner may lie. Lines
-that meet form all their pairs, which are verified too; segments have 6 words or more.
+More edits, at 20 words or more: of k + 1 stretches of the shorter line one is the same in the longer, at a place that the edits
+before and after it allow. Lines emit their stretches, and those where one of a shorter or equally long partner may lie. A line that
+meets others is compared with the earliest of each key first; only where that isn't a partner, with those members of the key that come before the
+earliest partner found. Stretches have 6 words or more.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from marlstone.session import materialize
 
@@ -45,7 +47,7 @@ def edits(a: list[str], b: list[str], most: int) -> int | None:
     """The edit distance of two word sequences, None if it is over most."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > most:
+    if len(b) - len(a) > most or len(set(a) ^ set(b)) > 2 * most:  # an edit takes one word away and adds another at most
         return None
     n = len(a)
     k = next((i for i in range(n) if a[i] != b[i]), n)
@@ -136,99 +138,176 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield ready(out)
 
 
-def _cuts(n: int) -> list[tuple[int, int]]:
-    """(start, length) of the segments of a line of n words."""
-    parts = bound(n) + 1
-    ends = [n * i // parts for i in range(parts + 1)]
-    return [(x, y - x) for x, y in zip(ends, ends[1:], strict=False)]
+def _cuts(n: int) -> tuple[list[int], int]:
+    """Where the stretches of a line of n words start, bound(n) + 1 of them without overlap, and their length: the last one ends the line.
+
+    Lengths go in steps, so that lines of almost the same length have stretches of the same.
+    """
+    k = bound(n)
+    size = n // (k + 1)
+    size -= size % (2 if size < 12 else 4)
+    return [size * i for i in range(k)] + [n - size], size
 
 
-def _places(m: int) -> tuple[np.ndarray, ...]:
-    """(start, length, tag, asks) of what a line of m words emits: its own segments, and stretches that may be a segment of a partner of n <= m words."""
-    out = [(at, size, m << 8 | i, False) for i, (at, size) in enumerate(_cuts(m))]
+def _places(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, asks) of what a line of m words emits: its own stretches, and those that may be one of a partner of n <= m words."""
+    own = {(at, _cuts(m)[1]) for at in _cuts(m)[0]}
+    asked = set()
     for n in range(m, LONG_WORDS - 1, -1):
         k, d = bound(n), m - n
         if d > bound(m):
             break
         if d <= k:
-            for i, (at, size) in enumerate(_cuts(n)):
+            starts, size = _cuts(n)
+            for i, at in enumerate(starts):
                 for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
                     if 0 <= at + shift <= m - size:
-                        out.append((at + shift, size, n << 8 | i, True))
-    start, size, tag, asks = zip(*out, strict=True)
-    return np.array(start), np.array(size), np.array(tag, np.uint64), np.array(asks)
+                        asked.add((at + shift, size))
+    out = [(*x, False) for x in sorted(own)] + [(*x, True) for x in sorted(asked - own)]
+    start, size, asks = zip(*out, strict=True)
+    return np.array(start), np.array(size), np.array(asks)
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, key, asks) of rows (h1, word hashes), for lines of LONG_WORDS words or more."""
+    """(key, asks, h1) of rows (h1, word hashes), for lines of LONG_WORDS words or more.
+
+    A line that the task met not long ago emits nothing, so a line that millions of documents repeat doesn't reach the shuffle as often.
+    """
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
     powers, back = np.ones(1, np.uint64), np.ones(1, np.uint64)
     known: dict[int, tuple[np.ndarray, ...]] = {}
+    seen: set[int] = set()
+    out: list[tuple[np.ndarray, ...]] = []
+    size = 0
 
-    def ready(out):
-        h, key, asks = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key.view(np.int64)), pa.array(asks)], ["h1", "key", "asks"])
+    def ready() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "asks", "h1"])
 
     for batch in batches:
-        ids = np.asarray(batch.column(0))
+        ids = batch.column(0).to_numpy()
         at = batch.column(1).offsets.to_numpy()
         values = batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64)
-        out: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for r in range(len(ids)):
-            w = values[at[r] : at[r + 1]]
-            n = len(w)
+        fresh = []
+        for r, h in enumerate(ids.tolist()):
+            if h not in seen:
+                seen.add(h)
+                fresh.append(r)
+        if len(seen) > 300_000:
+            seen.clear()
+        rows = np.array(fresh, np.int64)
+        sizes = np.diff(at)[rows]
+        for n in np.unique(sizes).tolist():
             while len(powers) < n + 1:
                 powers, back = (np.concatenate((x, x * np.uint64(pow(b, len(x), 1 << 64)))) for x, b in ((powers, base), (back, inverse)))
             if n not in known:
                 if len(known) > 2000:
                     known.clear()
                 known[n] = _places(n)
-            start, length, tag, asks = known[n]
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * powers[:n], dtype=np.uint64)))
-            key = (sums[start + length] - sums[start]) * back[start] + tag * np.uint64(0xC2B2AE3D27D4EB4F)
-            out.append((np.full(len(start), ids[r]), key, asks))
-            size += len(start)
-            if size > 200_000:
-                yield ready(out)
-                out, size = [], 0
-        if out:
-            yield ready(out)
+            start, length, asks = known[n]
+            alike = rows[sizes == n]
+            step = max(1, 200_000 // max(n, len(start)))
+            for a in range(0, len(alike), step):
+                some = alike[a : a + step]
+                sums = np.zeros((len(some), n + 1), np.uint64)
+                np.cumsum(values[at[some][:, None] + np.arange(n)] * powers[:n], axis=1, dtype=np.uint64, out=sums[:, 1:])
+                key = (sums[:, start + length] - sums[:, start]) * back[start]
+                out.append((key.reshape(-1).view(np.int64), np.tile(asks, len(some)), np.repeat(ids[some], len(start))))
+                size += len(out[-1][0])
+                if size > 200_000:
+                    yield ready()
+                    out, size = [], 0
+    if out:
+        yield ready()
+
+
+def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, asks, h1) in the order of key and asks those of keys that an own stretch and another line have.
+
+    A key's rows pass one by one; only its first one, an own stretch if there is any, is kept until another line turns up. The rows that equal the first one
+    are left out.
+    """
+    head: tuple[int, bool, int] | None = None
+    told = False
+    for batch in batches:
+        key, asks, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if head is not None:
+            key, asks, h = (np.concatenate((np.array([x], y.dtype), y)) for x, y in zip(head, (key, asks, h), strict=True))
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(key)]))))
+        keep = ~asks[starts][run] & (h != h[starts][run])
+        heads = np.zeros(len(starts), bool)
+        heads[run[keep]] = True
+        again = head is not None and told  # the head that was carried on is out already
+        last = bool(heads[-1]) or (again and len(starts) == 1)
+        keep[starts[heads]] = True
+        if again:
+            keep[0] = False
+        head, told = (key[starts[-1]], asks[starts[-1]], h[starts[-1]]), last
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(asks[keep]), pa.array(h[keep])], ["key", "asks", "h1"])
+
+
+def _size(line: str = "line") -> Column:
+    """The number of words, single spaces between them, without splitting the line."""
+    return F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, h2, first, line) of the lines at `first` in wanted, each text once."""
-    at = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("wanted"))
+    """(h1, h2, first, line, one) of the lines at `first` in wanted (first, one), each text once."""
+    at = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("wanted"), F.collect_set(F.when(F.col("one"), F.col("first.line_no"))).alias("ones"))
     found = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, "doc_id")
-    texts = found.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
-    return texts.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "line_no").alias("first"), "line").dropDuplicates(["h1", "h2"])
-
-
-def _long_pairs(docs: DataFrame, types: DataFrame, min_words: int) -> DataFrame:
-    """(h1, h2, b_doc, b_line, edits) of distinct lines and the earlier ones within their bound, where it is two or more."""
-    words = _lines(docs).withColumn("w", F.split("line", " ")).where(F.size("w") >= max(LONG_WORDS, min_words))
-    rows = words.select(F.xxhash64("line").alias("h1"), F.transform("w", lambda w: F.xxhash64(w)).alias("w")).mapInArrow(segments, "h1 long, key long, asks boolean")
-    met = rows.groupBy("key").agg(F.collect_set(F.when(~F.col("asks"), F.col("h1"))).alias("own"), F.collect_set(F.when(F.col("asks"), F.col("h1"))).alias("other"))
-    met = met.where((F.size("own") > 0) & (F.size("other") > 1)).select(F.explode("own").alias("x"), "other").select("x", F.explode("other").alias("y")).where("x != y")
-    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    side = lambda c: types.select(F.col("h1").alias(c), F.struct("h1", "h2", "first").alias(f"{c}_line"))
-    pairs = materialize(pairs.join(side("x"), "x").join(side("y"), "y").select("x_line", "y_line"), "long-pairs")
-    before = F.col("x_line.first") < F.col("y_line.first")
-    pairs = pairs.select(F.when(before, F.col("x_line")).otherwise(F.col("y_line")).alias("early"), F.when(before, F.col("y_line")).otherwise(F.col("x_line")).alias("late"))
-    texts = materialize(_fetched(docs, pairs.select("early.first").union(pairs.select("late.first")).distinct()), "long-texts")
+    texts = found.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted", "ones").where(F.array_contains("wanted", F.col("line_no")))
+    texts = texts.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.struct("doc_id", "line_no").alias("first"), "line", F.array_contains("ones", F.col("line_no")).alias("one"))
+    return texts.dropDuplicates(["h1", "h2"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (first, before, …) of lines with `edits`, the distance, null beyond the bound."""
+    names = pairs.columns
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column("line").to_pylist(), batch.column("earlier").to_pylist(), strict=True):
+                if y is None:
+                    found.append(None)
+                    continue
                 a, b = x.split(" "), y.split(" ")
                 found.append(edits(a, b, bound(min(len(a), len(b)))))
-            kept = batch.select([0, 1, 4, 5]).append_column("edits", pa.array(found, pa.int32()))
-            yield kept.filter(pa.array([f is not None for f in found], pa.bool_()))
-
-    both = pairs.join(texts.select(F.col("first").alias("f1"), "line"), F.col("late.first") == F.col("f1")).join(texts.select(F.col("first").alias("f2"), F.col("line").alias("earlier")), F.col("early.first") == F.col("f2"))
-    return both.select("late.h1", "late.h2", "line", "earlier", F.col("early.first.doc_id").alias("b_doc"), F.col("early.first.line_no").alias("b_line")).mapInArrow(verify, "h1 long, h2 long, b_doc long, b_line int, edits int")
+            yield batch.select(names).append_column("edits", pa.array(found, pa.int32()))
+
+    both = pairs.join(texts.select("first", "line", _size().alias("n")), "first").join(texts.select(F.col("first").alias("before"), F.col("line").alias("earlier"), _size().alias("b_n")), "before")
+    most = F.floor(F.log2(F.least("n", "b_n") / 10)) + 1  # bound() from LONG_WORDS words on
+    return both.select(*names, "line", F.when(F.abs(F.col("n") - F.col("b_n")) <= most, F.col("earlier")).alias("earlier")).mapInArrow(verify, StructType([*pairs.schema.fields, StructField("edits", IntegerType())]))
+
+
+def _long_members(docs: DataFrame, types: DataFrame, min_words: int) -> DataFrame:
+    """(key, own, h1, h2, first) of the distinct lines that share a stretch, where the bound is two edits or more."""
+    words = _lines(docs).where(_size() >= max(LONG_WORDS, min_words))
+    rows = words.select(F.xxhash64("line").alias("h1"), F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("w")).mapInArrow(segments, "key long, asks boolean, h1 long")
+    met = rows.repartition("key").sortWithinPartitions("key", "asks").mapInArrow(meeting, "key long, asks boolean, h1 long")
+    members = met.groupBy("key", "h1").agg(F.max(~F.col("asks")).alias("own")).join(types.select("h1", "h2", "first"), "h1")
+    return materialize(members.select("key", "own", "h1", "h2", "first"), "long-members")
+
+
+def _long_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, h2, b_doc, b_line, edits) of members and earlier ones within their bound, the earliest among them."""
+    # every member meets the earliest one that it may be a partner of; where that is one, no other of the key can be earlier
+    heads = members.groupBy("key").agg(F.min("first").alias("any"), F.min(F.when(F.col("own"), F.col("first"))).alias("head"))
+    asked = members.join(heads, "key").withColumn("before", F.when(F.col("own"), F.col("any")).otherwise(F.col("head"))).where(F.col("before") < F.col("first"))
+    asked = asked.select("key", "own", "h1", "h2", "first", "before")
+    checked = materialize(_verified(asked.select("h1", "h2", "first", "before").distinct(), texts), "long-heads")
+    # what is left meets all earlier members of the key that could be better than what was found
+    best = checked.where("edits IS NOT NULL").groupBy("h1", "h2").agg(F.min("before").alias("best"))
+    open_ = asked.join(checked.where("edits IS NULL").select("h1", "h2", "before"), ["h1", "h2", "before"]).join(best, ["h1", "h2"], "left")
+    others = members.select("key", F.col("own").alias("b_own"), F.col("first").alias("b"))
+    more = open_.join(others, "key").where((F.col("b") < F.least("first", "best")) & (F.col("b") != F.col("before")) & (F.col("own") | F.col("b_own")))
+    more = more.select("h1", "h2", "first", F.col("b").alias("before")).distinct().join(checked.select("h1", "h2", "before"), ["h1", "h2", "before"], "left_anti")
+    found = checked.unionByName(_verified(more.select("h1", "h2", "first", "before"), texts)).where("edits IS NOT NULL")
+    return found.select("h1", "h2", F.col("before.doc_id").alias("b_doc"), F.col("before.line_no").alias("b_line"), "edits")
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -252,13 +331,11 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     keys = types.select("h1", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k")).where("k IS NOT NULL")
     shared = keys.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("k"))).where("n > 1").select("h1", "first").distinct()
-    wanted = shared.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("wanted"))
-    found = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    texts = found.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
-    texts = texts.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), place.alias("first"), "line").where(F.size(F.split("line", " ")) >= min_words)
-    texts = materialize(texts.dropDuplicates(["h1", "h2"]), "line-texts")
+    members = _long_members(docs, types, min_words)
+    wanted = shared.select("first", F.lit(True).alias("one")).unionByName(members.select("first", F.lit(False).alias("one")).distinct())
+    texts = materialize(_fetched(docs, wanted), "line-texts")
 
-    hashed = texts.select("h1", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("w"))
+    hashed = texts.where(F.col("one") & (_size() >= min_words)).select("h1", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("w"))
     rows = hashed.mapInArrow(variants, "h1 long, v long, n int, place int").withColumn("met", F.count(F.lit(1)).over(W.partitionBy("v", "n"))).where("met > 1")
     rows = materialize(rows.select("h1", "v", "n", "place").join(texts.select("h1", "h2", "first"), "h1"), "line-variants")
     replaced = rows.where("place >= 0").groupBy("v", "n", "place").agg(F.min("first").alias("before"), F.count(F.lit(1)).alias("met")).where("met > 1")
@@ -275,7 +352,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     both = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(texts.select(F.col("first").alias("before"), F.col("line").alias("earlier")), "before")
     checked = both.select("h1", "h2", "line", "earlier", F.col("before.doc_id").alias("b_doc"), F.col("before.line_no").alias("b_line")).mapInArrow(verify, "h1 long, h2 long, b_doc long, b_line int")
-    checked = checked.withColumn("edits", F.lit(1)).unionByName(_long_pairs(docs, types, min_words))
+    checked = checked.withColumn("edits", F.lit(1)).unionByName(_long_pairs(members, texts))
     near = checked.groupBy("h1", "h2").agg(F.min(F.struct("b_doc", "b_line", "edits")).alias("b")).select("h1", "h2", "b")
     heads = near.join(types.select("h1", "h2", "first"), ["h1", "h2"]).select(
         F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("b.b_doc").alias("kept_doc_id"), F.col("b.b_line").alias("kept_line_no"), F.col("b.edits").alias("edits")
