@@ -18,9 +18,11 @@ key alone, so rows give the same result wherever they run.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import repeat
 from math import exp, inf, log
 
 import numpy as np
@@ -39,6 +41,8 @@ SPACE, LITERAL = "▁", "\udfff"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONGEST_DENSE = 24
 TABLE_BYTES = 180_000_000
+#: Characters that are searched at once.
+BATCH = 1_000_000
 SCHEMA = "doc_id long, sample int, pieces array<int>, log_prob double, log_inclusion double"
 
 
@@ -150,11 +154,15 @@ class Lattice:
     def types(self, words: list[str]) -> np.ndarray:
         """Type numbers of units; new ones get their sums."""
         known, base = self.type, len(self.type)
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
+        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            these = [words[k] for k in missing]
+            new = list(dict.fromkeys(these))
             known.update(zip(new, range(base, base + len(new)), strict=True))
             self._add(new, base)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            found[missing] = np.fromiter(map(known.__getitem__, these), np.int64, len(these))
+        return found
 
     def _room(self, table: dict[int, np.ndarray], n: int, used: int, more: np.ndarray) -> None:
         old = table.get(n)
@@ -474,6 +482,18 @@ def search(lattice: Lattice, texts: list[list[str]], keys: list[str], samples: i
 
 
 
+_LAST: dict[bytes, Vocabulary] = {}
+
+
+def _vocabulary(data: bytes) -> Vocabulary:
+    """The vocabulary of a model file; the last one is kept for the next task of the same worker."""
+    key = xxhash.xxh128_digest(data)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Vocabulary(data)
+    return _LAST[key]
+
+
 def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, smoothing: float = SMOOTHING, seed: int = SEED) -> DataFrame:
     """Up to `samples` rows (doc_id, sample, pieces, log_prob, log_inclusion) for each row of docs, sample counting from 1.
 
@@ -489,13 +509,14 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, smoothin
         data = f.read()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Vocabulary(data), smoothing)
+        lattice = Lattice(_vocabulary(data), smoothing)
+        gc.disable()  # nothing here has cycles, and the collector would walk all known units again and again
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             a = 0
             while a < len(ids):
                 b, n = a, 0
-                while b < len(ids) and n < 1_000_000:
+                while b < len(ids) and n < BATCH:
                     n += len(texts[b] or "")
                     b += 1
                 found = search(lattice, [units(t or "") for t in texts[a:b]], [str(i) if i is not None else "null" for i in ids[a:b]], samples, seed)
@@ -503,6 +524,7 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, smoothin
                 a = b
                 if lattice.bytes > TABLE_BYTES or len(lattice.type) > 400_000:
                     lattice.clear()
+        gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(work, SCHEMA)
 
@@ -529,7 +551,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         data = f.read()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(data)
+        vocabulary = _vocabulary(data)
         for batch in batches:
             text = pa.array([None if p is None else vocabulary.decode(p) for p in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], ["doc_id", "sample", "text"])
