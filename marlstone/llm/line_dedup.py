@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from marlstone.llm.memory import given_back
 from marlstone.session import materialize
 
 MIN_WORDS = 4
@@ -106,6 +107,7 @@ def _keyed(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
+@given_back
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h1, v, n, place) of rows (h1, word hashes): the line itself at place -1, each deletion at its place, n words left."""
     base = 0x9E3779B97F4A7C15
@@ -168,6 +170,7 @@ def _places(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(start), np.array(size), np.array(asks)
 
 
+@given_back
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, asks, h1) of rows (h1, word hashes), for lines of LONG_WORDS words or more.
 
@@ -221,6 +224,7 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready()
 
 
+@given_back
 def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, asks, h1) in the order of key and asks those of keys that an own stretch and another line have.
 
@@ -268,6 +272,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (first, before, …) of lines with `edits`, the distance, null beyond the bound."""
     names = pairs.columns
 
+    @given_back
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -345,6 +350,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = pairs.unionByName(rows.join(sides, ["v", "n"]).select("h1", "h2", "first", other.alias("before")))
     pairs = pairs.where(F.col("before") < F.col("first")).distinct()
 
+    @given_back
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [within_one(a.split(" "), b.split(" ")) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -369,6 +375,7 @@ def drop_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left").drop("__id")
     names, at = docs.columns, docs.columns.index("text")
 
+    @given_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lost = batch.column(batch.num_columns - 1).to_pylist()

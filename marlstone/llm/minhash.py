@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
+from marlstone.llm.memory import given_back
 from marlstone.session import materialize
 
 PERMS, RADIUS, CHUNKS = 64, 24, 13
@@ -69,6 +70,7 @@ def signatures(docs: DataFrame, perms: int = PERMS) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     hashed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
 
+    @given_back
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full = np.asarray(batch.column(1).value_lengths()) > 0
@@ -102,6 +104,7 @@ def chunk_keys(nodes: DataFrame, perms: int = PERMS, radius: int = RADIUS, chunk
     """(key, node) of nodes (node, sig)."""
     plan = chunk_plan(perms, radius, chunks)
 
+    @given_back
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -181,7 +184,7 @@ def near_edges(nodes: DataFrame, perms: int = PERMS, radius: int = RADIUS, chunk
     keys = chunk_keys(nodes, perms, radius, chunks)
     met = keys.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1").select("key", "node")
     rows = met.join(nodes.select("node", "sig"), "node").select("key", "node", "sig")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _pairs(batches, perms, radius), "u long, v long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(given_back(lambda batches: _pairs(batches, perms, radius)), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, perms: int = PERMS, radius: int = RADIUS, chunks: int = CHUNKS) -> DataFrame:

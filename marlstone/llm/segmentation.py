@@ -18,7 +18,6 @@ key alone, so rows give the same result wherever they run.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -31,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.memory import given_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SMOOTHING = 0.5
@@ -482,18 +483,6 @@ def search(lattice: Lattice, texts: list[list[str]], keys: list[str], samples: i
 
 
 
-_LAST: dict[bytes, Vocabulary] = {}
-
-
-def _vocabulary(data: bytes) -> Vocabulary:
-    """The vocabulary of a model file; the last one is kept for the next task of the same worker."""
-    key = xxhash.xxh128_digest(data)
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = Vocabulary(data)
-    return _LAST[key]
-
-
 def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, smoothing: float = SMOOTHING, seed: int = SEED) -> DataFrame:
     """Up to `samples` rows (doc_id, sample, pieces, log_prob, log_inclusion) for each row of docs, sample counting from 1.
 
@@ -508,9 +497,9 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, smoothin
     with open(model, "rb") as f:
         data = f.read()
 
+    @given_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(_vocabulary(data), smoothing)
-        gc.disable()  # nothing here has cycles, and the collector would walk all known units again and again
+        lattice = Lattice(Vocabulary(data), smoothing)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             a = 0
@@ -524,7 +513,6 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, smoothin
                 a = b
                 if lattice.bytes > TABLE_BYTES or len(lattice.type) > 400_000:
                     lattice.clear()
-        gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(work, SCHEMA)
 
@@ -550,8 +538,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     with open(model, "rb") as f:
         data = f.read()
 
+    @given_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(data)
+        vocabulary = Vocabulary(data)
         for batch in batches:
             text = pa.array([None if p is None else vocabulary.decode(p) for p in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], ["doc_id", "sample", "text"])

@@ -27,6 +27,8 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.memory import given_back
+
 #: Bounds of the labelled sample that the classifier is fitted on: documents of each class, and the characters of one.
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 4000, 100_000
 TOXIC_BYTES, ORDINARY_BYTES = 16384, 131072
@@ -270,6 +272,7 @@ def classify(docs: DataFrame, model: dict | None) -> DataFrame:
     give a row each; an empty table gives an empty result; other columns are ignored.
     """
 
+    @given_back
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -294,6 +297,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit(labelled_sample(docs, labels))
 
+    @given_back
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
