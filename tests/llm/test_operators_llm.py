@@ -106,10 +106,23 @@ def test_warc_round_trip(spark, tmp_path):
     import gzip
 
     for name in {r.file for r in index}:
-        again, before = gzip.open(tmp_path / "out" / name).read(), gzip.open(tmp_path / "raw" / name).read()
+        again, before = gzip.open(tmp_path / "out" / name).read(), gzip.open(tmp_path / "raw" / (name[: -len("-0123456789abcdef.warc.gz")] + ".warc.gz")).read()
         assert again == before and (tmp_path / "out" / f"{name}.idx").read_text().count("\n") == sum(r.file == name for r in index)
 
 
+def test_warc_files_of_one_name_stay_apart(spark, tmp_path):
+    import gzip
+
+    for k, folder in enumerate(("a", "b")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.warc.gz").write_bytes(gzip.compress(warc.warc_record(k, f"u{k}", f"text {k}")))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{f}/x.warc.gz",) for f in "ab"], "path string")
+    for _ in range(2):  # a second run finds the files of the first
+        index = warc.normalise(paths, f"file://{tmp_path}/out").collect()
+        assert {warc.read_record(f"file://{tmp_path}/out", r.file, r.offset, r.length)[1] for r in index} == {b"text 0", b"text 1"}
+        assert len({r.file for r in index}) == 2
+
+
 def test_warc_broken_files(spark, tmp_path):
     import gzip
     import io
