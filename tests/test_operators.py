@@ -124,7 +124,8 @@ def test_table_chunks(spark):
 def test_grid_building():
     head, body = S.build_grid([["Bits", "Type", "Description"], ["", "(R/W)", "more text"], ["7:4", "x", "y"], ["3", "z"], ["tail"], ["Band header line"], ["a", "b", "c"], ["d", "e", "f"]])
     assert head == ["Bits", "Type (R/W)", "Description more text"]
-    assert body == [["7:4", "x", "y"], ["3", "", "z tail"], ["Band header line"], ["a", "b", "c"], ["d", "e", "f"]]
+    assert body == [["7:4", "x", "y"], ["3", "", "z\ntail"], ["Band header line"], ["a", "b", "c"], ["d", "e", "f"]]
+    assert S.build_grid([["Value", "Size"], ["(in bytes value)"], ["1h", "x"], ["2h", "y"]])[1] == [["1h", "x"], ["2h", "y"]]  # a piece of the header is no row
     assert S.build_grid([]) == ([], [])
 
 
