@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import repeat
+from itertools import chain, repeat
 from math import exp, inf, log
 
 import numpy as np
@@ -41,9 +41,12 @@ NOTHING = 80.0
 SPACE, LITERAL = "▁", "\udfff"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONGEST_DENSE = 24
-TABLE_BYTES = 180_000_000
+#: Beyond so many bytes or units the tables are trimmed to half of that, to the units met most.
+TABLE_BYTES, MOST_TYPES = 180_000_000, 400_000
 #: Characters that are searched at once.
 BATCH = 1_000_000
+#: Units that are drawn at once; what a step works on then stays in the processor's cache.
+DRAWN = 16_384
 SCHEMA = "doc_id long, sample int, pieces array<int>, log_prob double, log_inclusion double"
 
 
@@ -71,19 +74,47 @@ class Vocabulary:
         self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.longest = max(map(len, self.ids))
-        #: For each length the hashes of all beginnings of pieces, sorted, and the piece that is one, or -1.
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in range(1, self.longest + 1):
-            these = [p for p in self.starts if len(p) == n]
+        #: For each length the hashes of all beginnings of pieces, sorted, and the piece that is one, or -1;
+        #: then by the leading bits of a hash the first of them, how many bits are left, and the most that share those.
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64, int]] = []
+        by_size: list[list[str]] = [[] for _ in range(self.longest + 1)]
+        for p in self.starts:
+            by_size[len(p)].append(p)
+        for n, these in enumerate(by_size[1:], 1):
+            chars = np.frombuffer("".join(these).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, n)
             h = np.zeros(len(these), np.uint64)
             for k in range(n):
-                h = _roll(h, np.array([ord(p[k]) for p in these], np.uint64))
+                h = _roll(h, chars[:, k])
             order = np.argsort(h)
-            self.tables.append((h[order], np.array([self.ids.get(p, -1) for p in these], np.int32)[order]))
+            # as many entries without a piece follow as any lookup goes beyond the last
+            bits = len(these).bit_length() + 2
+            shift = np.uint64(64 - bits)
+            held = np.bincount((h >> shift).astype(np.int64), minlength=1 << bits)
+            most = int(held.max())
+            hashes = np.concatenate((h[order], np.repeat(h[order][-1:], most)))
+            pieces = np.array([self.ids.get(p, -1) for p in these], np.int32)[order]
+            self.tables.append((hashes, np.concatenate((pieces, np.repeat(pieces[-1:], most))), np.cumsum(held) - held, shift, most))
         self.weight = np.zeros(len(self.pieces))
         for i, w in self.log_prob.items():
             self.weight[i] = w
 
+    def look_up(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of hashes of strings of that length: which begin a piece, and the piece that is the string, or -1."""
+        table, piece, first, shift, most = self.tables[size - 1]
+        spot = first.take((h >> shift).view(np.int64))
+        live = table.take(spot) == h
+        rest = np.flatnonzero(~live)
+        for k in range(1, most):
+            there = table.take(spot.take(rest) + k)
+            sought = h.take(rest)
+            hit = rest[there == sought]
+            live[hit] = True
+            spot[hit] += k
+            rest = rest[there < sought]
+            if not len(rest):
+                break
+        return live, np.where(live, piece.take(spot), -1)
+
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte[b] for b in (SPACE if char == LITERAL else char).encode()]
 
@@ -111,6 +142,15 @@ def units(text: str) -> list[str]:
     return UNIT.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
 
 
+def tails(text: str) -> list[str]:
+    """The units of a text without the space that each begins with."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text:
+        return [u[1:] for u in units(text)]
+    return text.replace(SPACE, LITERAL).split(" ")
+
+
 class Lattice:
     """Forward sums of units, and sampling from them.
 
@@ -123,6 +163,7 @@ class Lattice:
         self.vocabulary, self.smoothing = vocabulary, smoothing
         self.virtual = len(vocabulary.pieces)
         self.chars: list[str] = []
+        self.char_bytes: list[np.ndarray] = []
         self.char_id: dict[str, int] = {}
         self.clear()
 
@@ -134,6 +175,29 @@ class Lattice:
         self.used: dict[int, int] = {}
         self.long: dict[int, list[list[tuple[int, int, float]]]] = {}
         self.bytes = 0
+        #: How often each type was met.
+        self.met = np.zeros(0, np.int64)
+
+    def trim(self, most_bytes: int, most: int) -> None:
+        """Forgets long units, those met once and then those met least, until the rest takes no more than that. A unit's sums don't depend on the others."""
+        often = np.flatnonzero((self.length <= LONGEST_DENSE) & (self.met > 1))
+        often = often[np.argsort(-self.met[often], kind="stable")][:most]
+        takes = 12 * self.length[often].astype(np.int64) * (self.kind[often] % 32)
+        keep = np.zeros(len(self.length), bool)
+        keep[often[np.cumsum(takes) <= most_bytes]] = True
+        self.long = {}
+        number = np.cumsum(keep) - 1
+        flags, numbers = keep.tolist(), number.tolist()
+        self.type = {w: numbers[t] for w, t in self.type.items() if flags[t]}
+        self.length, self.row, self.kind, self.met = self.length[keep], self.row[keep], self.kind[keep], self.met[keep]
+        cum, ids, self.cum, self.ids, self.used, self.bytes = self.cum, self.ids, {}, {}, {}, 0
+        for kind in np.unique(self.kind).tolist():
+            which = np.flatnonzero(self.kind == kind)
+            rows = self.row[which]
+            self.cum[kind], self.ids[kind] = cum.pop(kind)[rows], ids.pop(kind)[rows]
+            self.row[which] = np.arange(len(which))
+            self.used[kind] = len(which)
+            self.bytes += self.cum[kind].nbytes + self.ids[kind].nbytes
 
     def size_of(self, piece: int) -> int:
         return 1 if piece >= self.virtual else len(self.vocabulary.pieces[piece])
@@ -153,7 +217,7 @@ class Lattice:
                     yield s, e, i, smooth * log_prob[i]
 
     def types(self, words: list[str]) -> np.ndarray:
-        """Type numbers of units; new ones get their sums."""
+        """Type numbers of units, given by their tails; new ones get their sums."""
         known, base = self.type, len(self.type)
         found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0).tolist()
@@ -161,8 +225,11 @@ class Lattice:
             these = [words[k] for k in missing]
             new = list(dict.fromkeys(these))
             known.update(zip(new, range(base, base + len(new)), strict=True))
-            self._add(new, base)
+            self._add([SPACE + w for w in new], base)
             found[missing] = np.fromiter(map(known.__getitem__, these), np.int64, len(these))
+        met = np.bincount(found, minlength=len(known))
+        met[: len(self.met)] += self.met
+        self.met = met
         return found
 
     def _room(self, table: dict[int, np.ndarray], n: int, used: int, more: np.ndarray) -> None:
@@ -186,16 +253,14 @@ class Lattice:
         parts, bare = [], np.zeros(0, np.int64)
         for size in range(1, v.longest + 1):
             h = _roll(h, chars[at + size - 1])
-            table, piece = v.tables[size - 1]
-            spot = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            live = table[spot] == h
-            found = np.where(live, piece[spot], -1)
+            live, found = v.look_up(h, size)
             if size == 1:
                 bare = at[found < 0]
-            whole = found >= 0
-            parts.append((at[whole], np.full(int(whole.sum()), size), found[whole], self.smoothing * v.weight[found[whole]]))
-            live &= left > size
-            at, left, h = at[live], left[live], h[live]
+            whole = np.flatnonzero(found >= 0)
+            pieces = found.take(whole)
+            parts.append((at.take(whole), np.full(len(whole), size), pieces, self.smoothing * v.weight.take(pieces)))
+            on = np.flatnonzero(live & (left > size))
+            at, left, h = at.take(on), left.take(on), h.take(on)
             if not len(at):
                 break
         if len(bare):
@@ -208,10 +273,11 @@ class Lattice:
         if char not in self.char_id:
             self.char_id[char] = self.virtual + len(self.chars)
             self.chars.append(char)
+            self.char_bytes.append(np.array(self.vocabulary.bytes_of(char), np.int32))
         return self.char_id[char]
 
     def _add(self, new: list[str], base: int) -> None:
-        lengths = np.array([len(w) for w in new], np.int32)
+        lengths = np.fromiter(map(len, new), np.int32, len(new))
         rows, kinds = np.zeros(len(new), np.int64), np.full(len(new), LONGEST_DENSE * 32 + 32, np.int32)
         for n in np.unique(lengths).tolist():
             which = np.flatnonzero(lengths == n)
@@ -228,33 +294,39 @@ class Lattice:
                 if not len(part):
                     continue
                 w = min(n, self.vocabulary.longest, high)
-                score, ids = np.full((len(part), n, w), -inf), np.zeros((len(part), n, w), np.int32)
-                of = chosen[unit]
-                place = (((np.cumsum(chosen) - 1)[unit[of]] * n + end[of] - 1) * w) + size[of] - 1
-                score.reshape(-1)[place] = weight[of]
-                ids.reshape(-1)[place] = piece[of]
+                score, ids = np.full((n, w, len(part)), -inf), np.zeros((len(part), n, w), np.int32)
+                of = np.flatnonzero(chosen.take(unit))
+                own, step, found = (np.cumsum(chosen) - 1).take(unit.take(of)), (end.take(of) - 1) * w + size.take(of) - 1, piece.take(of)
+                score.reshape(-1)[step * len(part) + own] = weight.take(of)
+                ids.reshape(-1)[own * (n * w) + step] = found
                 self._fill(n, w, score, ids, which[part], rows, kinds)
         self.length = np.concatenate((self.length, lengths))
         self.row = np.concatenate((self.row, rows))
         self.kind = np.concatenate((self.kind, kinds))
 
     def _fill(self, n: int, wide: int, score: np.ndarray, ids: np.ndarray, which: np.ndarray, rows: np.ndarray, kinds: np.ndarray) -> None:
-        """Dense tables of units of n characters whose longest edge has at most `wide`: the class n * 32 + wide."""
+        """Dense tables of units of n characters whose longest edge has at most `wide`: the class n * 32 + wide. score: by end, length and unit."""
         kind = n * 32 + wide
-        alpha = np.full((len(which), n + 1), -inf)
-        alpha[:, 0] = 0
-        cum = np.ones((len(which), n, wide))
+        alpha = np.full((n + 1, len(which)), -inf)
+        alpha[0] = 0
+        table = np.ones((n, wide, len(which)))
         for e in range(1, n + 1):
             m = min(e, wide)
-            s = score[:, e - 1, :m] + alpha[:, e - m : e][:, ::-1]
-            top = s.max(1, keepdims=True)
-            p = np.exp(s - top)
-            total = p.sum(1, keepdims=True)
-            alpha[:, e] = (top + np.log(total))[:, 0]
-            c = np.cumsum(p, 1) / total
-            last = m - 1 - np.argmax(p[:, ::-1] > 0, 1)
-            c[np.arange(m)[None, :] >= last[:, None]] = 1.0
-            cum[:, e - 1, :m] = c
+            p = score[e - 1, :m] + alpha[e - m : e][::-1]
+            top = p.max(0)
+            p -= top
+            np.exp(p, out=p)
+            c = np.cumsum(p, 0, out=table[e - 1, :m])
+            total = c[-1].copy()
+            alpha[e] = top + np.log(total)
+            c /= total
+            behind = np.ones(len(which), bool)  # no edge comes after
+            for k in range(m - 1, -1, -1):
+                np.copyto(c[k], 1.0, where=behind)
+                behind &= p[k] == 0
+                if not behind.any():
+                    break
+        cum = np.ascontiguousarray(table.transpose(2, 0, 1))
         used = self.used.get(kind, 0)
         rows[which] = np.arange(len(which)) + used
         kinds[which] = kind
@@ -338,30 +410,9 @@ class Lattice:
                     slow[int(k)], lp[k] = self.one(int(types[k]), rngs[owner[k]])
                     count[k] = len(slow[int(k)])
                 continue
-            width = wide
-            cum, ids = self.cum[n * 32 + width].reshape(-1, width), self.ids[n * 32 + width].reshape(-1)
-            base, pos, x = self.row[types[which]] * n, np.full(len(which), n), u[which]
-            gain = np.ones(len(which))
-            step = 0
-            while len(which):
-                at = base + pos - 1
-                c = cum[at]
-                k = (c > x[:, None]).argmax(1)
-                line = np.arange(len(k))
-                high = c[line, k]
-                low = np.where(k > 0, c[line, k - 1], 0.0)
-                wide = high - low
-                x = np.clip((x - low) / wide, 0.0, 1 - 1e-16)
-                gain *= wide
-                steps.append((which, ids[at * width + k], step))
-                pos = pos - k - 1
-                step += 1
-                done = pos == 0
-                if done.any():
-                    lp[which[done]] = np.log(gain[done])
-                    count[which[done]] = step
-                    going = ~done
-                    which, base, pos, x, gain = which[going], base[going], pos[going], x[going], gain[going]
+            cum, ids = self.cum[n * 32 + wide].reshape(-1, wide), self.ids[n * 32 + wide].reshape(-1)
+            for at in range(0, len(which), DRAWN):
+                self._walk(n, wide, cum, ids, which[at : at + DRAWN], types, u, count, lp, steps)
         ends = np.cumsum(count)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         for which, found, step in steps:
@@ -370,17 +421,49 @@ class Lattice:
             out[ends[k] - len(path) : ends[k]] = path[::-1]
         return out, count, lp
 
+    def _walk(self, n: int, wide: int, cum: np.ndarray, ids: np.ndarray, which: np.ndarray, types: np.ndarray, u: np.ndarray, count: np.ndarray, lp: np.ndarray, steps: list) -> None:
+        """Paths of units of one class, from their ends; adds what each step took to steps."""
+        at, pos, x = self.row.take(types.take(which)) * n + (n - 1), np.full(len(which), n), u.take(which)
+        gain = np.ones(len(which))
+        step = 0
+        while len(which):
+            c = cum.take(at, axis=0)
+            if wide <= 8:  # sums grow along a row, so the first above x comes behind all that aren't
+                k = np.zeros(len(x), np.int64)
+                for col in range(wide - 1):
+                    k += c[:, col] <= x
+            else:
+                k = (c > x[:, None]).argmax(1)
+            flat, spot = c.reshape(-1), np.arange(0, c.size, wide) + k
+            high = flat.take(spot)
+            low = np.where(k > 0, flat.take(spot - 1, mode="clip"), 0.0)
+            share = high - low
+            x = np.clip((x - low) / share, 0.0, 1 - 1e-16)
+            gain *= share
+            steps.append((which, ids.take(at * wide + k), step))
+            k += 1
+            at -= k
+            pos -= k
+            step += 1
+            going = np.flatnonzero(pos)
+            if len(going) < len(pos):
+                done = np.flatnonzero(pos == 0)
+                ended = which.take(done)
+                lp[ended] = np.log(gain.take(done))
+                count[ended] = step
+                which, at, pos, x, gain = (a.take(going) for a in (which, at, pos, x, gain))
+
     def real(self, pieces: np.ndarray) -> np.ndarray:
         """Pieces with the bytes of uncovered characters written out."""
         odd = np.flatnonzero(pieces >= self.virtual)
         if not len(odd):
             return pieces
         parts, last = [], 0
-        for k in odd:
-            parts += [pieces[last:k], self.vocabulary.bytes_of(self.chars[pieces[k] - self.virtual])]
+        for k, char in zip(odd.tolist(), (pieces[odd] - self.virtual).tolist(), strict=True):
+            parts += [pieces[last:k], self.char_bytes[char]]
             last = k + 1
         parts.append(pieces[last:])
-        return np.concatenate(parts).astype(np.int32)
+        return np.concatenate(parts)
 
 
 def _below(mean: np.ndarray, bound, e: np.ndarray) -> np.ndarray:
@@ -425,7 +508,12 @@ class _Row:
 
 def search(lattice: Lattice, texts: list[list[str]], keys: list[str], samples: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text (its units): up to `samples` of (pieces, log-probability, log of the inclusion probability), best first."""
-    flat = [w for t in texts for w in t]
+    return search_tails(lattice, [[u[1:] for u in t] for t in texts], keys, samples, seed)
+
+
+def search_tails(lattice: Lattice, texts: list[list[str]], keys: list[str], samples: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """search() of units given by their tails."""
+    flat = list(chain.from_iterable(texts))
     types = lattice.types(flat)
     rows, at = [], 0
     for words, key in zip(texts, keys, strict=True):
@@ -508,11 +596,11 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, smoothin
                 while b < len(ids) and n < BATCH:
                     n += len(texts[b] or "")
                     b += 1
-                found = search(lattice, [units(t or "") for t in texts[a:b]], [str(i) if i is not None else "null" for i in ids[a:b]], samples, seed)
+                found = search_tails(lattice, [tails(t or "") for t in texts[a:b]], [str(i) if i is not None else "null" for i in ids[a:b]], samples, seed)
                 yield _batch(ids[a:b], texts[a:b], found)
                 a = b
-                if lattice.bytes > TABLE_BYTES or len(lattice.type) > 400_000:
-                    lattice.clear()
+                if lattice.bytes > TABLE_BYTES or len(lattice.type) > MOST_TYPES:
+                    lattice.trim(TABLE_BYTES // 2, MOST_TYPES // 2)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(work, SCHEMA)
 

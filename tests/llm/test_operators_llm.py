@@ -530,6 +530,27 @@ def test_samples_are_distinct_and_as_likely_as_they_should_be(lattice):
     assert sum(weight.values()) / n == pytest.approx(1, abs=0.02)
 
 
+def test_trimmed_tables_keep_common_units_and_results():
+    with open(segmentation.MODEL, "rb") as f:
+        vocabulary = segmentation.Vocabulary(f.read())
+    rng = random.Random(3)
+    rare = [" ".join("".join(rng.choice("abcdé7") for _ in range(rng.randrange(1, 30))) for _ in range(200)) for _ in range(3)]
+    given = [segmentation.units(f"the whole of the river {'ab' * 30} {'ab' * 30} {'ab' * 30} {t} the whole of the river") for t in rare]
+    plain, trimmed = segmentation.Lattice(vocabulary, 0.5), segmentation.Lattice(vocabulary, 0.5)
+    for k, words in enumerate(given):
+        want, got = (segmentation.search(x, [words], [str(k)], 2, 7)[0] for x in (plain, trimmed))
+        assert [(p.tolist(), a, b) for p, a, b in want] == [(p.tolist(), a, b) for p, a, b in got]
+        before = len(trimmed.type)
+        trimmed.trim(20_000, 100)
+        assert {"the", "whole", "river"} <= set(trimmed.type) and len(trimmed.type) <= 100 < before
+        assert trimmed.bytes == sum(x.nbytes for t in (trimmed.cum, trimmed.ids) for x in t.values()) <= 20_000
+
+
+def test_tails_are_units_without_their_first_space():
+    for text in ("", "a", " a", "a ", " ", "  ", "a b", "a  b", "a▁b c", "▁", " ▁ ", "a\n b\tc", "é 😀 x"):
+        assert [segmentation.SPACE + t for t in segmentation.tails(text)] == segmentation.units(text)
+
+
 def test_all_segmentations_are_found(lattice):
     truth = all_of(lattice, "a bc")
     found = segmentation.search(lattice, [segmentation.units("a bc")], ["x"], 500, 1)[0]
