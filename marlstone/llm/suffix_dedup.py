@@ -15,6 +15,10 @@ found in three steps, none of which forms pairs of documents.
 A context must not match itself, nor its own document. So documents are numbered within an anchor, and for each bit of
 the number the contexts with that bit clear are indexed and those with it set are streamed, and the other way round: any
 two documents differ in some bit.
+
+That takes a pass for each bit, and one task holds all contexts of an anchor. So an anchor of more than HOT contexts takes another
+way, as exact: each of its contexts sends a hash of every window of `least` words, all of which contain the anchor, and a window that another
+document has too is marked. The windows go by their distance from the anchor to several tasks, which sort them once.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from marlstone.session import materialize
 LEAST, GRAM = 50, 8
 #: Words of contexts that are indexed together; an anchor's own contexts always are.
 BLOCK = 200_000
+#: Contexts of an anchor that are indexed at most; windows, by their distance from the anchor, that go to one task.
+HOT, SLICE = 64, 11
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -231,7 +237,7 @@ def block_marks(anchor: np.ndarray, doc: np.ndarray, whole: np.ndarray, start: n
 
     Contexts with `whole` set stand for several documents: they are matched against, and not marked.
     """
-    own = np.where(whole, -1 - np.arange(len(doc)), doc)
+    own = np.where(whole, -1 - np.arange(len(doc)), np.unique(doc, return_inverse=True)[1])
     order = np.lexsort((own, anchor))
     a, o = anchor[order], own[order]
     fresh_anchor = np.concatenate(([True], a[1:] != a[:-1]))
@@ -278,38 +284,77 @@ def block_marks(anchor: np.ndarray, doc: np.ndarray, whole: np.ndarray, start: n
     return doc[which], start[which] + low - slot[which], start[which] + high - slot[which]
 
 
+def window_marks(anchor: np.ndarray, doc: np.ndarray, whole: np.ndarray, start: np.ndarray, offsets: np.ndarray, windows: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks (doc, from, to) of rows that list hashes of consecutive windows, the first of which begins at `start`: windows that a row of the same anchor and another document lists too.
+
+    Rows with `whole` set stand for several documents: they are matched against, and not marked.
+    """
+    row = np.repeat(np.arange(len(doc)), np.diff(offsets))
+    key = windows.view(np.uint64) ^ (anchor.view(np.uint64) * np.uint64(_BASE))[row]
+    order = np.argsort(key)
+    sorted_ = key[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    owner = row[order]
+    docs = doc[owner]
+    shared = (np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)) | np.logical_or.reduceat(whole[owner], first)
+    on = np.empty(len(key), bool)
+    on[order] = np.repeat(shared, np.diff(np.concatenate((first, [len(key)]))))
+    on &= ~whole[row]
+    edge = np.concatenate(([True], row[1:] != row[:-1], [True]))
+    low = np.flatnonzero(on & (edge[:-1] | ~np.concatenate(([False], on[:-1]))))
+    high = np.flatnonzero(on & (edge[1:] | ~np.concatenate((on[1:], [False]))))
+    which = row[low]
+    return doc[which], start[which] + low - offsets[which], start[which] + high - offsets[which] + least
+
+
 def _mark(batches: Iterator[pa.RecordBatch], least: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Marks of rows (anchor, doc_id, whole, start, words) that are sorted by anchor; an anchor's rows may go on in the next batch."""
+    """Marks of rows (anchor, slice, doc_id, whole, start, words) that are sorted by anchor and slice; the rows of a pair may go on in the next batch.
+
+    Rows with slice -1 hold the words of a context, others the hashes of windows, two numbers each.
+    """
     kept: list[pa.RecordBatch] = []
     size = 0
 
-    def run(rows: pa.Table) -> pa.RecordBatch:
-        lists = rows.column(4).combine_chunks()
+    def key(batch: pa.RecordBatch, k: int) -> tuple[int, int]:
+        return batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+
+    def marks(rows: pa.Table, indexed: bool) -> pa.RecordBatch:
+        lists = rows.column(5).combine_chunks()
         at = lists.offsets.to_numpy()
         flat = lists.values.to_numpy(zero_copy_only=False)
-        words = [flat[at[k] : at[k + 1]] for k in range(len(at) - 1)]
-        doc, low, high = block_marks(*(rows.column(k).to_numpy() for k in (0, 1)), rows.column(2).to_numpy(), rows.column(3).to_numpy().astype(np.int64), words, least)
+        anchor, doc, whole, start = (rows.column(k).to_numpy() for k in (0, 2, 3, 4))
+        start = start.astype(np.int64)
+        if indexed:
+            doc, low, high = block_marks(anchor, doc, whole, start, [flat[at[k] : at[k + 1]] for k in range(len(at) - 1)], least)
+        else:
+            doc, low, high = window_marks(anchor, doc, whole, start, (at - at[0]).astype(np.int64) // 2, np.ascontiguousarray(flat[at[0] : at[-1]]).view(np.int64), least)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "a", "b"])
 
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        index = rows.column(1).to_numpy() < 0
+        for indexed in (True, False):
+            if (index == indexed).any():
+                yield marks(rows.filter(pa.array(index == indexed)), indexed)
+
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             kept.append(part)
             size += part.num_rows * 2 * least
-            if size < block:
+            if size < block or (last := key(part, part.num_rows - 1)) == key(kept[0], 0):
                 continue
             table = pa.Table.from_batches(kept)
-            keys = table.column(0).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1], side="left"))
-            if cut:
-                yield run(table.slice(0, cut))
-                kept = table.slice(cut).to_batches()
-                size = (table.num_rows - cut) * 2 * least
+            keys, slices = table.column(0).to_numpy(), table.column(1).to_numpy()
+            cut = int(np.searchsorted(keys, last[0], side="left"))
+            cut += int(np.searchsorted(slices[cut:], last[1], side="left"))
+            yield from run(table.slice(0, cut))
+            kept = table.slice(cut).to_batches()
+            size = (table.num_rows - cut) * 2 * least
     if kept:
-        yield run(pa.Table.from_batches(kept))
+        yield from run(pa.Table.from_batches(kept))
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(doc_id, spans) of the documents that share a passage of `least` words or more with another document.
 
     Words are what white space separates, compared as they are and numbered from 0; spans are the ranges [start, end) of all words in
@@ -329,11 +374,20 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, blo
     stands = ~F.col("whole") | (F.row_number().over(whole.orderBy("doc_id", "place")) == 1)
     chosen = shared.withColumn("stands", stands).where("stands").withColumn("n", F.count(F.lit(1)).over(met)).where("n > 1")
     reach = least - gram
-    wanted = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "whole")).alias("wanted"))
+    wanted = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "whole", (F.col("n") > hot).alias("hot"))).alias("wanted"))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     hashed = texts.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("h"), "wanted")
 
+    def spread(begins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of lists of n members, and the places of all members."""
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        return offsets, np.repeat(begins - offsets[:-1], n) + np.arange(offsets[-1])
+
+    def rows(anchor, slice_, ids, all_, start, offsets, words) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words))
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(slice_.astype(np.int32)), pa.array(ids), pa.array(all_.astype(bool)), pa.array(start.astype(np.int32)), lists], ["anchor", "slice", "doc_id", "whole", "start", "words"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for start in range(0, whole_batch.num_rows, 200):
@@ -345,17 +399,27 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, blo
                 items = batch.column(2).values
                 row = np.repeat(np.arange(len(ids)), np.diff(per))
                 part = slice(per[0], per[-1])
-                anchor, place, all_ = (np.asarray(items.field(k).to_numpy(zero_copy_only=False))[part] for k in range(3))
+                anchor, place, all_, many = (np.asarray(items.field(k).to_numpy(zero_copy_only=False))[part] for k in range(4))
                 base, size = at[row], at[row + 1] - at[row]
                 a, b = np.maximum(place - reach, 0), np.minimum(place + least, size)
-                n = b - a
-                offsets = np.concatenate(([0], np.cumsum(n)))
-                take = np.repeat(base + a - offsets[:-1], n) + np.arange(offsets[-1])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((h[take] ^ (h[take] >> 32)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row]), pa.array(all_.astype(bool)), pa.array(a.astype(np.int32)), lists], ["anchor", "doc_id", "whole", "start", "words"])
-
-    contexts = hashed.mapInArrow(cut, "anchor long, doc_id long, whole boolean, start int, words array<int>")
-    marks = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _mark(batches, least, block), "doc_id long, a int, b int")
+                few = np.flatnonzero(~many)
+                if len(few):
+                    offsets, take = spread((base + a)[few], (b - a)[few])
+                    yield rows(anchor[few], np.full(len(few), -1), ids[row[few]], all_[few], a[few], offsets, (h[take] ^ (h[take] >> 32)).astype(np.int32))
+                if len(few) == len(many):
+                    continue
+                words = h[at[0] : at[-1]].view(np.uint64)
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words))[:-1], dtype=np.uint64)))
+                inverse = _powers(pow(_BASE, -1, 1 << 64), len(words))
+                for k in range(reach // SLICE + 1):
+                    low, high = np.maximum(a, place - (k + 1) * SLICE + 1), np.minimum(b - least, place - k * SLICE)
+                    which = np.flatnonzero(many & (low <= high))
+                    offsets, take = spread((base - at[0] + low)[which], (high - low + 1)[which])
+                    windows = ((sums[take + least] - sums[take]) * inverse[take]).view(np.int32)
+                    yield rows(anchor[which], np.full(len(which), k), ids[row[which]], all_[which], low[which], 2 * offsets, windows)
+
+    contexts = hashed.mapInArrow(cut, "anchor long, slice int, doc_id long, whole boolean, start int, words array<int>")
+    marks = contexts.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(lambda batches: _mark(batches, least, block), "doc_id long, a int, b int")
     long_words = _word_counts(docs)
     direct = shared.where("whole").join(long_words, "doc_id").select("doc_id", F.greatest(F.col("place") - reach, F.lit(0)).alias("a"), F.least(F.col("place") + least, F.col("n_words")).alias("b"))
     return _merged(direct.unionByName(marks))

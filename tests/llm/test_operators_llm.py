@@ -485,6 +485,29 @@ def test_passages_against_brute_force(spark, block):
     assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found.collect()} == brute_passages(pairs, 12)
 
 
+@pytest.mark.parametrize("hot", [0, 5, 64])
+def test_passages_of_hot_anchors_and_of_negative_ids(spark, hot):
+    rng = random.Random(8)
+    pool = [[f"p{k}_{rng.randrange(40)}" for _ in range(rng.randrange(12, 40))] for k in range(3)]
+    pairs = []
+    for i in range(-60, 60):
+        part = list(rng.choice(pool))
+        cut = part[rng.randrange(4) :][: rng.randrange(10, 40)]
+        pairs.append((i, " ".join([f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 9))] + cut + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 9))])))
+    pairs += [(i, "r " * rng.randrange(8, 60)) for i in range(60, 70)]
+    found = suffix_dedup.repeated_passages(docs(spark, pairs), 12, 4, 300, hot)
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found.collect()} == brute_passages(pairs, 12)
+
+
+def test_index_is_bounded():
+    """Rows of many contexts of an anchor come as windows and are marked without an index, however many they are."""
+    n, windows = 20_000, np.arange(11)
+    docs_, start, offsets = np.arange(n), np.zeros(n, np.int64), 11 * np.arange(n + 1)
+    hashes = np.where(np.arange(11)[None, :] < 5, windows[None, :], 10**6 + np.arange(11 * n).reshape(n, 11)).reshape(-1)
+    doc, low, high = suffix_dedup.window_marks(np.full(n, 7), docs_, docs_ == 3, start, offsets, hashes, 50)
+    assert sorted(doc.tolist()) == [i for i in range(n) if i != 3] and set(low) == {0} and set(high) == {54}
+
+
 def test_passage_cases(spark):
     p = " ".join(f"q{i}" for i in range(55))
     pairs = [(1, p), (1, p), (2, "x " + p), (3, None), (None, p), (4, ""), (5, LONG), (6, LONG), (7, "r " * 120), (8, "r " * 60), (9, " ".join(f"own{i % 60}" for i in range(120)))]
