@@ -499,6 +499,12 @@ def test_passages_of_hot_anchors_and_of_negative_ids(spark, hot):
     assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found.collect()} == brute_passages(pairs, 12)
 
 
+def test_a_negative_id_meets_a_whole_context():
+    words = [np.arange(20), np.arange(15)]
+    doc, low, high = suffix_dedup.block_marks(np.zeros(2, np.int64), np.array([4, -1]), np.array([True, False]), np.zeros(2, np.int64), words, 12)
+    assert (doc.tolist(), low.tolist(), high.tolist()) == ([-1], [0], [15])
+
+
 def test_index_is_bounded():
     """Rows of many contexts of an anchor come as windows and are marked without an index, however many they are."""
     n, windows = 20_000, np.arange(11)
