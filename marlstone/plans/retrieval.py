@@ -18,7 +18,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark, sf_dir):
-    return R.top_k(R.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir)), 10)
+    return R.bm25_top(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 10)
 
 
 def bm25_filtered_global_stats(spark, sf_dir):

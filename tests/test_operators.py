@@ -33,6 +33,43 @@ def test_title_only_hits(spark):
     assert rows(R.bm25(docs, asked, title=F.col("title"))) == [(1, 1, 1.0)]
 
 
+@pytest.mark.parametrize("given", [{}, {"keep": True}, {"title": True}, {"title": True, "keep": True}])
+def test_best_of_blocks_is_the_best_of_all(spark, given):
+    import random
+
+    rng = random.Random(2)
+    words = [*"fox hen Owl CAT dog ant2 the bee".split(), "\u00fcber", "x-ray", "\u212aelvin"]
+    docs = spark.createDataFrame([(f"d{i}", None if i % 11 == 0 else " ".join(rng.choice(words) for _ in range(i % 9)), rng.choice("ab")) for i in range(300)], "doc_id string, text string, source string")
+    asked = spark.createDataFrame([(1, "fox fox Ray"), (2, "the"), (3, None), (4, "zebra"), (5, "hen owl cat dog ant2 bee elvin ber")], "qid long, query string")
+    given = {"keep": F.col("source") == "b"} | ({} if "keep" in given else {"keep": None}) | ({"title": F.col("source")} if "title" in given else {})
+    want = R.top_k(R.bm25(docs, asked.unionByName(asked.selectExpr("qid + 10 AS qid", "concat(query, ' b') AS query")), **given), 7)
+    got = R.bm25_top(docs, asked.unionByName(asked.selectExpr("qid + 10 AS qid", "concat(query, ' b') AS query")), 7, **given)
+    order = ("qid", "rank", "doc_id", "score")
+    assert rows(got.select(*order), "qid", "rank") == rows(want.select(*order), "qid", "rank") != []
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_best_of_blocks_without_documents_or_tokens(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some, asked = spark.createDataFrame([(1, "red"), (2, None)], "doc_id long, text string"), spark.createDataFrame([(1, "red")], "qid long, query string")
+    assert R.bm25_top(none, asked, 3).count() == 0 and R.bm25_top(some, asked.limit(0), 3).count() == 0
+    assert [r.doc_id for r in R.bm25_top(some, asked, 3).collect()] == [r.doc_id for r in R.top_k(R.bm25(some, asked), 3).collect()]
+    heads = R.bm25_top(some, asked, 3, title=F.col("text"), head_list=True)
+    assert {(r.method, r.doc_id, r["rank"]) for r in heads.collect()} >= {("head", 1, 1)}
+
+
+def test_best_keeps_ties_by_id():
+    import numpy as np
+    import pyarrow as pa
+
+    best = R._Best(2, 2)
+    for ids, block in (([5, 4], [[1.0, -np.inf], [1.0, 0.5]]), ([3, 9], [[1.0, 2.0], [7.0, 0.5]])):
+        best.add(np.array(block), pa.array(ids))
+        best.cut()
+    q, score, ids = best.cut()
+    assert list(zip(q.tolist(), score.tolist(), ids.to_pylist(), strict=True)) == [(0, 7.0, 9), (0, 1.0, 3), (1, 2.0, 3), (1, 0.5, 4)]
+
+
 def test_fusion_counts_first_rank_and_names_missing_methods(spark):
     hits = spark.createDataFrame([(1, "a", "bm25", 7, 1), (1, "a", "bm25", 7, 3), (1, "b", None, 7, 2), (1, "b", None, 8, 1)], "qid long, list_id string, method string, doc_id long, rank int")
     out = {r.doc_id: r for r in R.fuse(hits).collect()}
