@@ -127,7 +127,7 @@ def hybrid_multi_query(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
     parts = asked.select("qid", F.posexplode(F.array_distinct(F.concat(F.array(F.trim("query")), F.transform(F.split("query", "\n"), lambda x: F.trim(x))))).alias("no", "query"))
     keyed = parts.where(R.has_letters(F.col("query"))).select(F.concat_ws("/", "qid", "no").alias("qid"), "query")
-    lists = R.top_k(R.bm25(docs, keyed), 5)
+    lists = R.bm25_top(docs, keyed, 5)
     hits = lists.select(F.substring_index("qid", "/", 1).cast("long").alias("qid"), F.col("qid").alias("list_id"), F.lit("bm25").alias("method"), "doc_id", "rank")
     return R.top_k(R.fuse(hits).withColumnRenamed("rrf_score", "score"), 10, digits=9)
 
