@@ -100,12 +100,8 @@ SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INTE
 
 def _overlap_lists(spark, sf_dir):
     """Two ranked lists per query: BM25, and the share of the query's tokens that a document's first line holds."""
-    docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
-    first = R.top_k(R.bm25(docs, asked), 20).withColumn("method", F.lit("bm25"))
-    heads = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.substring_index("text", "\n", 1)))).alias("t"))
-    want = asked.select("qid", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("t"))
-    second = R.top_k(heads.join(want, "t").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), 20).withColumn("method", F.lit("head"))
-    return materialize(first.unionByName(second), "ranked")
+    lists = R.bm25_top(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 20, title=F.substring_index("text", "\n", 1), head_list=True)
+    return materialize(lists, "ranked")
 
 
 _LISTS = f"""
