@@ -26,7 +26,7 @@ def bm25_filtered_global_stats(spark, sf_dir):
 
 
 def bm25_title_bonus(spark, sf_dir):
-    return R.top_k(R.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), title=F.substring_index("text", "\n", 1)), 10)
+    return R.bm25_top(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 10, title=F.substring_index("text", "\n", 1))
 
 
 def _bm25_sql(title: bool = False, keep: str = "true") -> str:
