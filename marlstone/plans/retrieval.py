@@ -22,7 +22,7 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_filtered_global_stats(spark, sf_dir):
-    return R.top_k(R.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), keep=F.col("source") == "src3"), 10)
+    return R.bm25_top(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 10, keep=F.col("source") == "src3")
 
 
 def bm25_title_bonus(spark, sf_dir):
