@@ -158,9 +158,10 @@ def pinned_rank(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
+    """The pool's hits, 40 a query at most, with texts: they go to the documents, which aren't shuffled."""
     hits = R.first_wins(_pool(spark, sf_dir), ["qid", "doc_id"])
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return hits.join(texts, "doc_id").join(_asked(spark, sf_dir), "qid")
+    return materialize(texts.join(F.broadcast(hits), "doc_id"), "candidates").join(_asked(spark, sf_dir), "qid")
 
 
 def rerank_lexical(spark, sf_dir):
