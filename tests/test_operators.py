@@ -318,6 +318,16 @@ def test_nearest_against_brute_force(spark, block):
     assert out == want
 
 
+def test_nearest_shuffles_neither_pairs_nor_vectors(spark):
+    v = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") % 7, F.col("id") % 3).cast("array<float>").alias("embedding"))
+    many = R.nearest(v, v.selectExpr("concat('q', vec_id) AS qid", "embedding AS q"), 5, 16)
+    plan = many._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Window" not in plan and plan.partition("== Physical Plan ==")[2].count("Exchange") == 1  # that of the queries
+    best = {r.qid: r.vec_id for r in many.where("rank = 1").collect()}
+    assert len(best) == 400 and all(best[f"q{i}"] == i % 21 for i in range(400))
+    assert many.where("rank <= 5").count() == 2000
+
+
 @pytest.mark.parametrize("name,keep", [("vector_topk", "true"), ("vector_topk_filtered", "label = 3")])
 def test_every_vector_is_a_query(spark, sf_dir, name, keep):
     from marlstone.plans import catalogue
